@@ -62,7 +62,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` (its rows as ``row``, without the text) with ``text`` (what is
     kept), ``n_lines`` (before dropping) and ``n_dropped``."""
     pairs = settle(line_pairs(docs, min_chars))
-    shared = (
+    # Written down, so that the join below has two plain exchanges and the rows
+    # of a very common line are split between tasks.
+    shared = settle(
         pairs.groupBy("line_hash")
         .agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("keeper"))
         .where(F.col("n") >= min_docs)
