@@ -247,6 +247,8 @@ class _Renderer:
         self.pruned: dict[str, tuple[TableMeta, list[str]]] = {}
         self.hint: ConeHint | None = None
         self.bound: dict[int, str] = {}
+        #: Region operands that a join has parsed already.
+        self.parsed: dict[int, str] = {}
 
     # -- queries ---------------------------------------------------------------
     def query(self, q: t.Node, outer: Scope | None, ctes: dict[str, list[str] | None]) -> tuple[str, list[str] | None]:
@@ -404,6 +406,8 @@ class _Renderer:
         if len(scope.sources) != 2 or any(s.table is None for s in scope.sources):
             return None
         for c in conjuncts(q.where) + conjuncts(j.on):
+            if (joined := self.region_join(c, scope, j)) is not None:
+                return joined
             found = self.pair_cone(c, scope)
             if not found:
                 continue
@@ -421,6 +425,46 @@ class _Renderer:
             )
         return None
 
+    def region_join(self, c: t.Node, scope: Scope, j: t.Join) -> str | None:
+        """A position in another table's region, or two tables' regions."""
+        truth = truth_of(c)
+        call, holds = truth if truth else (c, True)
+        if not holds or not isinstance(call, t.Call) or call.name not in PREDICATES:
+            return None
+        kinds = [geometry_kind(a) for a in call.args]
+        if not all(isinstance(a, t.Column) for a, k in zip(call.args, kinds, strict=True) if k == "region"):
+            return None
+        sides, owners = [], []
+        for a, kind in zip(call.args, kinds, strict=True):
+            columns = [a] if kind == "region" else a.args[1:] if kind == "point" else []
+            if not columns or not all(isinstance(x, t.Column) for x in columns):
+                return None
+            own = {id(o): o for x in columns if (o := self.owner(x, scope))}
+            if len(own) != 1:
+                return None
+            owner = next(iter(own.values()))
+            view, names = quoted(owner.table.view), [quoted(x.parts[-1]) for x in columns]
+            sides.append(
+                cells.region_side(view, *names) if kind == "region" else cells.region_point_side(view, *names)
+            )
+            owners.append(owner)
+            if kind == "region":
+                self.parsed[id(a)] = f"{quoted(owner.alias)}.{quoted(cells.REGION)}"
+        if owners[0] is owners[1]:
+            for a in call.args:
+                self.parsed.pop(id(a), None)
+            return None
+        self.bound[id(scope)] = "cells"
+        one, two = (quoted(o.alias) for o in owners)
+        on = [f"{one}.{quoted(cells.CELL)} = {two}.{quoted(cells.CELL)}"]
+        if kinds == ["region", "region"]:  # a pair counts in the first cell both touch
+            on.append(
+                f"{one}.{quoted(cells.CELL)} = array_min(array_intersect({one}.{quoted(cells.CELLS)}, {two}.{quoted(cells.CELLS)}))"
+            )
+        if j.on is not None:
+            on.append(self.expr(j.on, scope))
+        return f"({sides[0]}) AS {one} INNER JOIN ({sides[1]}) AS {two} ON " + " AND ".join(on)
+
     def pair_cone(self, c: t.Node, scope: Scope):
         """(point columns, its source), (centre columns, its source), radius."""
         truth = truth_of(c)
@@ -625,7 +669,7 @@ class _Renderer:
         if isinstance(node, t.Call):
             xs = self.coords(node, scope)
             return sphere.vertex_array(xs[0::2], xs[1::2])
-        return sphere.parse_region(self.expr(node, scope))
+        return self.parsed.get(id(node)) or sphere.parse_region(self.expr(node, scope))
 
     def _fn_point(self, n: t.Call, scope: Scope) -> str:
         ra, dec = self.coords(n, scope)

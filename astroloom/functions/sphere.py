@@ -117,15 +117,30 @@ def parse_region(region: str) -> str:
     """Vertices of an STC-S ``POLYGON ICRS`` text; NULL where it is no such
     text, has an odd or too small count of numbers, or any is no number."""
     tokens = f"split(trim(regexp_replace({region}, '[ \\\\t\\\\r\\\\n]+', ' ')), ' ')"
-    numbers = f"transform(slice({tokens}, 3, greatest(size({tokens}) - 2, 0)), t -> try_cast(t AS DOUBLE))"
+    numbers = "transform(slice(ts, 3, greatest(size(ts) - 2, 0)), t -> try_cast(t AS DOUBLE))"
     sound = (
-        f"size({tokens}) >= 8 AND size({tokens}) % 2 = 0 AND upper({tokens}[0]) = 'POLYGON' AND upper({tokens}[1]) = 'ICRS'"
-        f" AND forall({numbers}, n -> n IS NOT NULL AND NOT isnan(n) AND abs(n) < 1e300D)"
+        "size(ts) >= 8 AND size(ts) % 2 = 0 AND upper(ts[0]) = 'POLYGON' AND upper(ts[1]) = 'ICRS'"
+        " AND forall(ns, n -> n IS NOT NULL AND NOT isnan(n) AND abs(n) < 1e300D)"
     )
-    pairs = (
-        f"transform(sequence(0, size({tokens}) DIV 2 - 2), k -> {vector(f'get({numbers}, 2 * k)', f'get({numbers}, 2 * k + 1)')})"
+    pairs = f"transform(sequence(0, size(ns) DIV 2 - 1), k -> {vector('get(ns, 2 * k)', 'get(ns, 2 * k + 1)')})"
+    return bind(tokens, "ts", bind(numbers, "ns", f"CASE WHEN {sound} THEN {pairs} END"))
+
+
+def cap_of(vertices: str) -> str:
+    """struct(ra, dec, radius) of a cap that holds a polygon (degrees): around
+    the sum of its vertices, the whole sky where that is no use."""
+    total = "named_struct(" + ", ".join(
+        f"'{c}', aggregate({vertices}, 0D, (s, v) -> s + v.{c})" for c in "xyz"
+    ) + ")"
+    least = f"aggregate({vertices}, 1D, (s, v) -> least(s, (v.x * c.x + v.y * c.y + v.z * c.z) / l))"
+    cap = (
+        "CASE WHEN l > 1e-9D AND m > 0.0017D THEN named_struct('ra', pmod(degrees(atan2(c.y, c.x)), 360D),"
+        " 'dec', degrees(asin(greatest(-1D, least(1D, c.z / l)))),"
+        " 'radius', degrees(acos(greatest(-1D, least(1D, m)))) + 1e-5D)"
+        f" WHEN {vertices} IS NOT NULL THEN named_struct('ra', 0D, 'dec', 0D, 'radius', 180D) END"
     )
-    return f"CASE WHEN {sound} THEN {pairs} END"
+    length = "sqrt(c.x * c.x + c.y * c.y + c.z * c.z)"
+    return bind(total, "c", bind(length, "l", bind(least, "m", cap)))
 
 
 def bind(value: str, name: str, body: str) -> str:

@@ -9,6 +9,8 @@ the query. Copies of a circle: about nine, more only next to a pole.
 
 from __future__ import annotations
 
+from ..functions import sphere
+
 #: Above this a circle touches too much of the sky for cells to help.
 MAX_RADIUS = 20.0
 CELL = "__sky_cell"
@@ -36,27 +38,54 @@ def _key(zone: str, cell: str) -> str:
 
 def point_side(table: str, ra: str, dec: str, radius: float) -> str:
     """SQL of the table with each position's cell."""
-    h = height(radius)
+    return f"SELECT *, {_cell(ra, dec, height(radius))} AS `{CELL}` FROM {table}"
+
+
+def _cell(ra: str, dec: str, h: float) -> str:
     zone = _zone(dec, h)
     n = _count(zone, h)
     cell = f"least({n} - 1, CAST(floor(pmod(CAST({ra} AS DOUBLE), 360D) * {n} / 360D) AS BIGINT))"
-    return f"SELECT *, {_key(zone, cell)} AS `{CELL}` FROM {table}"
+    return _key(zone, cell)
 
 
 def circle_side(table: str, ra: str, dec: str, radius: float) -> str:
     """SQL of the table with a row for each cell its circles can touch."""
-    h, r = height(radius), radius * 1.0000001 + 1e-7
+    cells = touched(ra, dec, f"{radius * 1.0000001 + 1e-7!r}D", height(radius))
+    return f"SELECT *, explode_outer({cells}) AS `{CELL}` FROM {table}"
+
+
+def touched(ra: str, dec: str, radius: str, h: float) -> str:
+    """The cells that a circle can touch, each once."""
     half = (
-        f"CASE WHEN abs({dec}) + {r!r}D >= 89.9D THEN 180D"
-        f" ELSE degrees(asin(least(1D, sin(radians({r!r}D)) / cos(radians({dec}))))) + 1e-7D END"
-    )
-    low, high = _zone(f"greatest(-90D, {dec} - {r!r}D)", h), _zone(f"least(90D, {dec} + {r!r}D)", h)
-    n = _count("z", h)
-    first = f"CAST(floor((pmod(CAST({ra} AS DOUBLE), 360D) - ({half})) * {n} / 360D) AS BIGINT)"
-    last = f"CAST(floor((pmod(CAST({ra} AS DOUBLE), 360D) + ({half})) * {n} / 360D) AS BIGINT)"
-    # All cells of a zone at most, each once; the last cell also takes what rounds up to 360.
-    touched = (
-        f"transform(sequence({first}, least({last}, {first} + {n} - 1)), k -> {_key('z', f'pmod(k, {n})')})"
+        f"CASE WHEN abs({dec}) + {radius} >= 89.9D THEN 180D"
+        f" ELSE degrees(asin(least(1D, sin(radians({radius})) / cos(radians({dec}))))) + 1e-7D END"
     )
-    cells = f"flatten(transform(sequence({low}, {high}), z -> {touched}))"
-    return f"SELECT *, explode(array_distinct({cells})) AS `{CELL}` FROM {table} WHERE {ra} IS NOT NULL AND {dec} IS NOT NULL"
+    low, high = _zone(f"greatest(-90D, {dec} - {radius})", h), _zone(f"least(90D, {dec} + {radius})", h)
+    first = "CAST(floor((a - w) * n / 360D) AS BIGINT)"
+    last = "CAST(floor((a + w) * n / 360D) AS BIGINT)"
+    # All cells of a zone at most; what rounds up to 360 is put into the last one.
+    row = f"transform(sequence({first}, least({last}, {first} + n - 1)), k -> {_key('z', 'pmod(k, n)')})"
+    zones = f"transform(sequence({low}, {high}), z -> {sphere.bind(_count('z', h), 'n', row)})"
+    around = sphere.bind(f"pmod(CAST({ra} AS DOUBLE), 360D)", "a", sphere.bind(half, "w", zones))
+    return f"array_distinct(flatten({around}))"
+
+
+#: Cell height, in degrees, for regions, whose sizes are not known beforehand.
+REGION_HEIGHT = 1.0
+REGION = "__sky_region"
+CELLS = "__sky_cells"
+
+
+def region_point_side(table: str, ra: str, dec: str) -> str:
+    return f"SELECT *, {_cell(ra, dec, REGION_HEIGHT)} AS `{CELL}` FROM {table}"
+
+
+def region_side(table: str, region: str) -> str:
+    """SQL of the table with its regions parsed once, and a row for each cell
+    that a region's bounding cap touches; rows without a region have no cell."""
+    parsed = f"SELECT *, {sphere.parse_region(region)} AS `{REGION}` FROM {table}"
+    capped = f"SELECT *, {sphere.cap_of(f'`{REGION}`')} AS __cap FROM ({parsed})"
+    cells = touched("__cap.ra", "__cap.dec", "__cap.radius", REGION_HEIGHT)
+    listed = f"SELECT *, {cells} AS `{CELLS}` FROM ({capped})"
+    # Outer: a plain explode makes the optimizer add a filter that repeats all of the above.
+    return f"SELECT *, explode_outer(`{CELLS}`) AS `{CELL}` FROM ({listed})"
