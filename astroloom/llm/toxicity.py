@@ -64,12 +64,12 @@ SWAPS = {t.encode(): [o.encode() for o in g if o != t] + [NEUTRAL.encode()] for
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """32-bit hashes of a word and of its beginnings."""
+    """Hashes of a word and of its beginnings, as signed 32-bit numbers."""
     text = word.decode("utf-8", "replace")
-    out = [zlib.crc32(b"w" + word)]
+    out = [zlib.crc32(b"w" + word) - (1 << 31)]
     for n in PREFIXES:
         if len(text) > n:
-            out.append(zlib.crc32(f"{n}{text[:n]}".encode()))
+            out.append(zlib.crc32(f"{n}{text[:n]}".encode()) - (1 << 31))
     return tuple(out)
 
 
@@ -106,14 +106,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
 
 
 def collect_features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, list[list[np.ndarray]]]:
-    """Hashed features, label and swapped versions' features of each row."""
+    """Hashed features, label and swapped versions' features of each row. They
+    come as Arrow columns: four bytes for a feature, no object for any."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, swapped = [], []
         for text in raw_texts(batch.column("text")):
             ws = set(words(text))
-            base = features(ws)
-            own.append(sorted(base))
+            own.append(sorted(features(ws)))
             versions = []
             for term in sorted(ws & SWAPS.keys()):
                 for other in SWAPS[term]:
@@ -121,72 +121,85 @@ def collect_features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, lis
             swapped.append(versions)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(own, pa.list_(pa.int64())),
-                batch.column("toxic"),
-                pa.array(swapped, pa.list_(pa.list_(pa.int64()))),
                 batch.column("doc_id"),
+                batch.column("toxic"),
+                pa.array(own, pa.list_(pa.int32())),
+                pa.array(swapped, pa.list_(pa.list_(pa.int32()))),
             ],
-            ["own", "toxic", "swapped", "doc_id"],
+            ["doc_id", "toxic", "own", "swapped"],
         )
 
     found = map_batches(
         rows.select("doc_id", "text", "toxic"),
         run,
-        "own array<bigint>, toxic int, swapped array<array<bigint>>, doc_id bigint",
+        "doc_id bigint, toxic int, own array<int>, swapped array<array<int>>",
+    ).toArrow()
+    own, swapped, y, ids = [], [], [], []
+    for batch in found.to_batches():
+        column = batch.column("own")
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        own += [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        swapped += [[np.array(v, dtype=np.int32) for v in x] for x in batch.column("swapped").to_pylist()]
+        y += batch.column("toxic").to_pylist()
+        ids += batch.column("doc_id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(own[i]), own[i].tobytes()))
+    return (
+        [own[i] for i in order],
+        np.array([1.0 if y[i] else 0.0 for i in order]),
+        [swapped[i] for i in order],
     )
-    got = sorted(found.collect(), key=lambda r: (r.doc_id, r.own))
-    own = [np.array(r.own, dtype=np.int64) for r in got]
-    swapped = [[np.array(v, dtype=np.int64) for v in r.swapped] for r in got]
-    return own, np.array([1.0 if r.toxic else 0.0 for r in got]), swapped
 
 
 def fit(own: list[np.ndarray], y: np.ndarray, swapped: list[list[np.ndarray]]) -> Model:
+    """``own``: sorted feature hashes of each row."""
     n, pos = len(y), float(y.sum()) if len(y) else 0.0
     if not 0 < pos < n:
         rate = (pos + 0.5) / (n + 1.0)
         return Model(float(np.log(rate / (1 - rate))), {})
-    names, inverse = np.unique(np.concatenate(own), return_inverse=True)
-    rows = np.repeat(np.arange(n), [len(x) for x in own])
-    with_f = np.bincount(inverse, minlength=len(names)).astype(float)
-    pos_f = np.bincount(inverse, weights=y[rows], minlength=len(names))
-    a, b = pos_f, with_f - pos_f
+    names, with_f = np.unique(np.concatenate(own), return_counts=True)
+    own_names, own_counts = np.unique(np.concatenate([x for x, t in zip(own, y, strict=True) if t]), return_counts=True)
+    a = np.zeros(len(names))
+    a[np.searchsorted(names, own_names)] = own_counts
+    b = with_f - a
     c, d = pos - a, (n - pos) - b
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * pos * (n - pos), 1e-9)
-    order = np.lexsort((names, -chi2))
-    chosen = np.sort(order[:SELECTED][chi2[order[:SELECTED]] >= LEAST_CHI2])
-    at = {int(names[k]): j for j, k in enumerate(chosen)}
-
-    def design(sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), len(at) + 1))
-        x[:, -1] = 1.0
-        for i, s in enumerate(sets):
-            for f in s.tolist():
-                if f in at:
-                    x[i, at[f]] = 1.0
-        return x
-
-    x = design(own)
-    gaps = [design([v])[0] - x[i] for i, versions in enumerate(swapped) for v in versions]
+    order = np.lexsort((names, -chi2))[:SELECTED]
+    chosen = np.sort(names[order[chi2[order] >= LEAST_CHI2]])
+    k = len(chosen)
+
+    def row(features: np.ndarray) -> np.ndarray:
+        out = np.zeros(k + 1, dtype=np.float32)
+        out[-1] = 1.0
+        if k:
+            at = np.minimum(np.searchsorted(chosen, features), k - 1)
+            out[at[chosen[at] == features]] = 1.0
+        return out
+
+    x = np.zeros((n, k + 1), dtype=np.float32)
+    for i, features in enumerate(own):
+        x[i] = row(features)
+    gaps = [row(v) - x[i] for i, versions in enumerate(swapped) for v in versions]
     gaps = [g for g in gaps if g.any()]
-    ridge = np.full(len(at) + 1, RIDGE)
+    ridge = np.full(k + 1, RIDGE)
     ridge[-1] = 1e-3
     # Both kinds weigh the same half of n, softened towards the base rate.
     weight = np.where(y > 0, 0.5 * (1 + 0.5 * n / pos), 1.0)
-    w = np.zeros(len(at) + 1)
+    w = np.zeros(k + 1)
     w[-1] = np.log(pos / (n - pos))
     penalty = np.diag(ridge)
     if gaps:
-        g = np.array(gaps)
+        g = np.array(gaps, dtype=np.float64)
         penalty = penalty + FAIRNESS * (g.T @ g)
     for _ in range(30):  # Newton steps
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
         grad = x.T @ (weight * (p - y)) + penalty @ w
-        hess = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + penalty
-        step = np.linalg.solve(hess, grad)
+        scale = np.sqrt(weight * p * (1 - p) + 1e-6).astype(np.float32)
+        scaled = x * scale[:, None]
+        step = np.linalg.solve((scaled.T @ scaled).astype(np.float64) + penalty, grad)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
-    return Model(float(w[-1]), {f: float(w[j]) for f, j in at.items()})
+    return Model(float(w[-1]), {int(f): float(w[j]) for j, f in enumerate(chosen)})
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
