@@ -505,3 +505,242 @@ def work_folder(spark: SparkSession, name: str) -> str:
     shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     shared = shared or os.path.join(tempfile.gettempdir(), f"astroloom-{os.getpid()}")
     return f"{shared}/catalog-{name}-{uuid.uuid4().hex}"
+
+
+# --- sources: written in each format, read back through discovery ----------------------------
+def _discovered(spark: SparkSession, name: str, files: dict[str, bytes]) -> Engine:
+    """An engine over a folder with these files. They go through Hadoop's file
+    system, so the folder may be on any store the executors see."""
+    from .sources.discovery import discover
+
+    folder = f"{work_folder(spark, name)}/{name}"
+    jvm = spark._jvm
+    for path, body in files.items():
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()
+    plain = folder.removeprefix("file:") if folder.startswith("file:/") else folder
+    return Engine(spark, discover(spark, [plain.replace("//", "/") if folder.startswith("file:") else plain]))
+
+
+def _nations(spark: SparkSession, sf_dir: str):
+    return (
+        spark.read.parquet(f"{sf_dir}/nation.parquet")
+        .selectExpr("CAST(n_nationkey AS BIGINT) AS k", "n_name AS name", "n_regionkey / 2D AS half")
+        .orderBy("k")
+        .toArrow()
+    )
+
+
+_NATION_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, n_regionkey / 2.0::DOUBLE AS half FROM nation"
+_META = [ColumnMeta("k", "long"), ColumnMeta("name", "char"), ColumnMeta("half", "double", "deg", "pos.eq.dec")]
+
+
+def _round_trip(kind: str, ending: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .output import serialize
+
+        body = serialize(_nations(spark, sf_dir), kind, _META)
+        return _discovered(spark, f"trip_{ending}", {f"nations.{ending}": body}).frame(
+            f"SELECT k, name, half FROM trip_{ending}.nations"
+        )
+
+    label = {"votable": "votable", "votable/td": "votable_td"}.get(kind, kind)
+    QUERIES[f"scan_{label}_roundtrip"] = run
+    SQL[f"scan_{label}_roundtrip"] = _NATION_SQL
+
+
+for _kind, _ending in (("csv", "csv"), ("tsv", "tsv"), ("parquet", "parquet"), ("votable", "vot"), ("votable/td", "xml")):
+    _round_trip(_kind, _ending)
+
+
+@frame("scan_ecsv_roundtrip", _NATION_SQL)
+def scan_ecsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = (
+        "# %ECSV 1.0\n# ---\n# datatype:\n# - {name: k, datatype: int64}\n# - {name: name, datatype: string}\n"
+        "# - {name: half, unit: deg, datatype: float64}\nk name half\n"
+    )
+    body = "".join(f'{r["k"]} "{r["name"]}" {r["half"]!r}\n' for r in _nations(spark, sf_dir).to_pylist())
+    return _discovered(spark, "trip_ecsv", {"nations.ecsv": (head + body).encode()}).frame(
+        "SELECT k, name, half FROM trip_ecsv.nations"
+    )
+
+
+def fits_table(rows: list[tuple], names: list[str], forms: list[str]) -> bytes:
+    """A FITS file with one binary table (formats K, D, E, J and nA)."""
+    import struct
+
+    from .service.links import card
+
+    width = sum(int(f[:-1]) if f[-1] == "A" else {"K": 8, "D": 8, "E": 4, "J": 4}[f[-1]] for f in forms)
+    body = bytearray()
+    for r in rows:
+        for v, f in zip(r, forms, strict=True):
+            if f[-1] == "A":
+                body += str(v).encode().ljust(int(f[:-1]))[: int(f[:-1])]
+            else:
+                body += struct.pack(">" + {"K": "q", "D": "d", "E": "f", "J": "i"}[f[-1]], v)
+
+    def header(cards: list[bytes]) -> bytes:
+        raw = b"".join([*cards, b"END".ljust(80)])
+        return raw.ljust(-(-len(raw) // 2880) * 2880)
+
+    primary = header([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0), card("EXTEND", True)])
+    cards = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", width), card("NAXIS2", len(rows))]
+    cards += [card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(names))]
+    for i, (n, f) in enumerate(zip(names, forms, strict=True), 1):
+        cards += [card(f"TTYPE{i}", n), card(f"TFORM{i}", f)]
+    return primary + header(cards) + bytes(body).ljust(-(-len(body) // 2880) * 2880, b"\0")
+
+
+@frame("scan_fits_roundtrip", _NATION_SQL)
+def scan_fits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(r["k"], r["name"], r["half"]) for r in _nations(spark, sf_dir).to_pylist()]
+    body = fits_table(rows, ["k", "name", "half"], ["K", "30A", "D"])
+    return _discovered(spark, "trip_fits", {"nations.fits": body}).frame("SELECT k, name, half FROM trip_fits.nations")
+
+
+# --- HEALPix-partitioned tables -----------------------------------------------------------------
+def _sharded(spark: SparkSession, sf_dir: str) -> Engine:
+    """sky.stars cut into order-1 shards, and the file list of the catalog."""
+    from .functions import healpix
+    from .sources.discovery import discover
+
+    root = f"{work_folder(spark, 'hats')}/sky/stars"
+    frame_ = engine(spark, sf_dir).registry.frame("sky.stars").select("id", "ra", "dec", "mag")
+    pixel = F.udf(lambda a, d: healpix.pixel_of(1, a, d), "int")
+    from .shipping import ship
+
+    ship(spark)
+    frame_.withColumn("Norder", F.lit(1)).withColumn("Npix", pixel("ra", "dec")).write.partitionBy("Norder", "Npix").parquet(f"{root}/dataset")
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    target = Path(f"{root}/partition_info.csv")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(b"Norder,Npix\n1,0\n"))
+    out.close()
+    plain = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
+    return Engine(spark, discover(spark, [plain]))
+
+
+def _hats(name: str, where: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _sharded(spark, sf_dir).frame(f"SELECT id, ra, dec FROM sky.stars WHERE {where}")
+    SQL[name] = with_sky(f"SELECT id, ra, dec FROM sky.stars WHERE {oracle}")
+
+
+_C = f"CONTAINS({_P}, CIRCLE('ICRS', 56.75, 24.12, 15))"
+_PLAIN = f"{hav('ra', 'dec', '56.75', '24.12')} <= 15"
+_hats("hats_pruned_cone", f"{_C} = 1 AND mag > 0", f"{_PLAIN} AND mag > 0")
+_hats("hats_negated", f"{_C} = 0", f"NOT ({_PLAIN})")
+_hats("hats_unpruned", f"{_C} = 1 OR mag < 10", f"{_PLAIN} OR mag < 10")
+
+
+# --- image metadata and services -------------------------------------------------------------------
+_PLANES = (
+    "SELECT 'caom:' || c_mktsegment || '/' || c_custkey || '/2' AS plane_uri, 'caom:' || c_mktsegment || '/' || c_custkey AS obs_uri,"
+    " c_custkey AS k, c_mktsegment AS collection, c_custkey / 1000.0D AS em_low, c_custkey * 2.0D AS t_low,"
+    " CAST((c_custkey * 7919) % 358 AS BIGINT) AS x, CAST((c_custkey * 104729) % 120 - 60 AS BIGINT) AS y FROM customer"
+)
+
+
+def images(spark: SparkSession, sf_dir: str) -> Engine:
+    """caom.* and ivoa.obscore over the customers: one square image each."""
+    from .obscore import caom
+
+    own = engine(spark, sf_dir)
+    base = spark.sql(_PLANES.replace("FROM customer", "FROM {c}"), c=own.registry.frame("base.customer"))
+    none = "CAST(NULL AS STRING)"
+    frames = {
+        "observation": base.selectExpr("obs_uri", "collection", "CAST(k AS STRING) AS obs_id", f"{none} AS instrument", f"{none} AS target_name", f"{none} AS facility"),
+        "plane": base.selectExpr(
+            "plane_uri", "obs_uri", "2 AS calib_level", "'image' AS dataproduct_type", _REGION.format(s="STRING") + " AS s_region",
+            "x + 1D AS s_ra", "y + 1D AS s_dec", "3D AS s_fov", "1D AS s_resolution", "t_low AS t_min", "t_low + 1D AS t_max", "60D AS t_exptime",
+            "em_low AS em_min", "em_low + 0.5D AS em_max", "'V' AS em_filter",
+        ),
+        "artifact": base.selectExpr("'file:' || k AS artifact_uri", "plane_uri", "'http://x/' || k AS access_url", "'application/fits' AS content_type", "k * 1024 AS content_length", "'science' AS product_type"),
+        "chunk": base.selectExpr("'c' || k AS chunk_id", "'file:' || k AS artifact_uri", "0 AS extension", "CAST(k + 1 AS INT) AS naxis1", "100 AS naxis2", f"{none} AS wcs_json").where("naxis1 % 2 = 0"),
+    }
+    caom.register(own.registry, frames)
+    return own
+
+
+_PLANE_SQL = _PLANES.replace("1000.0D", "1000.0::DOUBLE").replace("2.0D", "2.0::DOUBLE")
+
+
+@frame(
+    "obscore_view",
+    f"SELECT plane_uri AS obs_publisher_did, collection AS obs_collection, CAST(k AS VARCHAR) AS obs_id, k AS access_estsize,"
+    f" CASE WHEN (k + 1) % 2 = 0 THEN CAST(k + 1 AS BIGINT) END AS s_xel1, x + 1.0::DOUBLE AS s_ra, 'phot.flux' AS o_ucd, CAST(0 AS BIGINT) AS pol_xel"
+    f" FROM ({_PLANE_SQL}) p",
+)
+def obscore_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images(spark, sf_dir).frame(
+        "SELECT obs_publisher_did, obs_collection, obs_id, access_estsize, s_xel1, s_ra, o_ucd, pol_xel FROM ivoa.obscore"
+    )
+
+
+def _sia(name: str, pairs: list[tuple[str, str]], oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .service.params import Parameters
+        from .service.search import image_search_adql
+
+        return images(spark, sf_dir).frame(image_search_adql(Parameters(pairs))).select("obs_publisher_did")
+
+    QUERIES[name] = run
+    if oracle:
+        SQL[name] = f"SELECT plane_uri AS obs_publisher_did FROM ({_PLANE_SQL}) p WHERE {oracle}"
+
+
+_sia("sia_band", [("BAND", "0.2 0.3"), ("BAND", "0.9")], "(em_low <= 0.3 AND em_low + 0.5 >= 0.2) OR (em_low <= 0.9 AND em_low + 0.5 >= 0.9)")
+_sia("sia_time", [("TIME", "-Inf 50"), ("COLLECTION", "BUILDING")], "t_low <= 50 AND collection = 'BUILDING'")
+_sia("sia_pos_circle", [("POS", "CIRCLE 56.75 24.12 15")], "")
+_sia("sia_pos_band", [("POS", "RANGE 0 360 10 90")], "y + 1 >= 10")
+
+
+@frame(
+    "scs_verb2",
+    f"SELECT id, ra, dec FROM sky.stars WHERE {hav('ra', 'dec', '200.0', '-30.0')} <= 12.0",
+)
+def scs_verb2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .service.params import Parameters
+    from .service.search import cone_search_adql
+
+    own = engine(spark, sf_dir)
+    p = Parameters([("RA", "200"), ("dec", "-30"), ("SR", "12"), ("VERB", "2")])
+    return own.frame(cone_search_adql(own.registry.find("sky.stars"), p))
+
+
+@frame(
+    "datalink_links",
+    f"SELECT plane_uri AS \"ID\", s AS semantics, CASE WHEN s = '#this' THEN k * 1024 END AS content_length FROM ({_PLANE_SQL}) p,"
+    " (VALUES ('#this'), ('#preview'), ('#cutout')) v(s) WHERE k < 20",
+)
+def datalink_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .service.links import artifacts_of, link_rows
+
+    own = images(spark, sf_dir)
+    ids = [r.plane_uri for r in own.registry.frame("caom.plane").where("t_min < 40").select("plane_uri").toLocalIterator()]
+    return link_rows(artifacts_of(own, ids)).select("ID", "semantics", "content_length")
+
+
+@frame(
+    "upload_join",
+    "SELECT n.n_name AS name, u.w AS w FROM nation n JOIN (VALUES (CAST(1 AS BIGINT), 0.5::DOUBLE), (3, 1.5), (5, 2.5), (7, 3.5), (99, 9.5)) u(k, w) ON n.n_nationkey = u.k",
+)
+def upload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
+
+    from .output import serialize
+    from .service.params import Parameters, tap_request
+    from .service.tap import run_request
+
+    table = pa.table({"k": [1, 3, 5, 7, 99], "w": [0.5, 1.5, 2.5, 3.5, 9.5]})
+    pairs = [
+        ("LANG", "ADQL"),
+        ("UPLOAD", "mine,param:p1"),
+        ("QUERY", "SELECT n.n_name AS name, u.w AS w FROM base.nation AS n JOIN tap_upload.mine AS u ON n.n_nationkey = u.k"),
+    ]
+    request = tap_request(Parameters(pairs))
+    return spark.createDataFrame(run_request(engine(spark, sf_dir), request, {"p1": serialize(table, "votable")}).table)
