@@ -16,6 +16,8 @@ Vector = tuple[float, float, float]
 
 #: Vertices this close to one great circle enclose nothing.
 FLAT = 1e-9
+#: A vertex this close to an edge (radians) touches it.
+TOUCH = 1e-9
 
 
 def number(x: float) -> str:
@@ -213,7 +215,9 @@ def point_in_polygon(ra: str, dec: str, vertices: str) -> str:
 def _near_arc(c: str, u: str, v: str, radius: str, tag: str) -> str:
     """Whether the arc u-v comes within ``radius`` (radians) of ``c``."""
     n = f"n{tag}"
-    near_end = f"(acos(greatest(-1D, least(1D, {_dot(c, u)}))) <= {radius})"
+    # By the chord, which keeps its digits where a cosine is flat.
+    chord = f"sqrt(power({c}.x - {u}.x, 2D) + power({c}.y - {u}.y, 2D) + power({c}.z - {u}.z, 2D))"
+    near_end = f"({chord} <= 2D * sin(least(pi(), {radius}) / 2D))"
     along = (
         f"(sqrt({_dot(n, n)}) > 1e-15D AND {_dot(_paren(_cross(n, u)), c)} >= 0D AND {_dot(_paren(_cross(v, n)), c)} >= 0D"
         f" AND abs(asin(greatest(-1D, least(1D, {_dot(c, n)} / sqrt({_dot(n, n)}))))) <= {radius})"
@@ -248,9 +252,15 @@ def polygons_meet(first: str, second: str) -> str:
         f"exists({_indices('us')}, k -> exists({_indices('vs')}, m -> "
         f"{_arcs_cross('get(us, k)', _next('us', 'k'), 'get(vs, m)', _next('vs', 'm'))}))"
     )
+
+    def touches(points: str, shape: str, tag: str) -> str:
+        edge = _near_arc("p", f"get({shape}, m)", _next(shape, "m"), f"{TOUCH!r}D", tag)
+        return f"exists({points}, p -> exists({_indices(shape)}, m -> {edge}))"
+
     body = (
         f"(size(us) >= 3 AND size(vs) >= 3 AND (exists(us, p -> {inside('p', 'vs', 'v')})"
-        f" OR exists(vs, p -> {inside('p', 'us', 'u')}) OR {crossing}))"
+        f" OR exists(vs, p -> {inside('p', 'us', 'u')}) OR {crossing}"
+        f" OR {touches('us', 'vs', 't')} OR {touches('vs', 'us', 't')}))"
     )
     return bind(first, "us", bind(second, "vs", body))
 
