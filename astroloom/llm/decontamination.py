@@ -84,26 +84,21 @@ def word_rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in partial.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def _blocks(benchmark: DataFrame, limit: int):
-    """The benchmark in blocks of about ``limit`` bytes of text: one where it
-    is small, which is measured and not assumed."""
-    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
-    total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // limit))
-    for k in range(n):
-        part = named if n == 1 else named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, r.text.encode()) for r in part.toLocalIterator()]
-
-
-RESULT = T.StructType(
-    [
-        T.StructField("row", T.StructType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+def _named(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
+
+
+def _block_count(benchmark: DataFrame, limit: int) -> int:
+    """Blocks of about ``limit`` bytes of text: one where the benchmark is
+    small, which is measured and not assumed."""
+    total = _named(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // limit))
+
+
+def _block(benchmark: DataFrame, k: int, parts: int) -> list[tuple[str, bytes]]:
+    named = _named(benchmark)
+    part = named if parts == 1 else named.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+    return [(r.item_id, r.text.encode()) for r in part.toLocalIterator()]
 
 
 def decontaminate(
@@ -124,58 +119,50 @@ def decontaminate(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    blocks = 0
-    for items in _blocks(benchmark, block_bytes):
-        windows = item_windows(items, window)
+    result = T.StructType(
+        [
+            schema["row"],
+            schema["text"],
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_hit", T.LongType()),
+            schema["items"],
+        ]
+    )
+    parts = _block_count(benchmark, block_bytes)
+    for k in range(parts):
+        windows = item_windows(_block(benchmark, k, parts), window)
         vocabulary = {w for x in windows for w in x}
         rarity = word_rarity(docs, vocabulary) if windows else {}
         index = sc.broadcast(prefix_index(windows, rarity))
-        blocks += 1
 
-        def find(batch: pa.RecordBatch, index=index, first=blocks == 1) -> pa.RecordBatch:
+        def find(batch: pa.RecordBatch, index=index, first=k == 0, last=k == parts - 1) -> pa.RecordBatch:
             known = index.value
-            spans_out, items_out = [], []
+            n_words, spans_out, items_out = [], [], []
             before = [None] * batch.num_rows if first else list(
                 zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
             )
             for text, old in zip(raw_texts(batch.column("text")), before, strict=True):
-                spans, found = hits(words(text), known)
+                ws = words(text)
+                spans, found = hits(ws, known)
                 if old:
                     spans += [(x["lo"], x["hi"]) for x in old[0]]
                     found.update(old[1])
+                n_words.append(len(ws))
                 spans_out.append(merged(spans))
                 items_out.append(sorted(found))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("text"),
-                    pa.array(
-                        [[{"lo": lo, "hi": hi} for lo, hi in x] for x in spans_out],
-                        pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])),
-                    ),
-                    pa.array(items_out, pa.list_(pa.string())),
-                ],
-                ["row", "text", "spans", "items"],
-            )
-
-        rows = map_batches(rows, find, schema)
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_hit = [sum(x["hi"] - x["lo"] for x in spans) for spans in batch.column("spans").to_pylist()]
-        n_words = [len(words(t)) for t in raw_texts(batch.column("text"))]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                batch.column("text"),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                batch.column("items"),
-            ],
-            ["row", "text", "n_words", "n_hit", "items"],
-        )
-
-    out = T.StructType([T.StructField("row", schema["row"].dataType), *RESULT.fields[1:]])
-    return map_batches(rows, count, out)
+            items = pa.array(items_out, pa.list_(pa.string()))
+            if last:
+                n_hit = [sum(hi - lo for lo, hi in x) for x in spans_out]
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items],
+                    ["row", "text", "n_words", "n_hit", "items"],
+                )
+            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+            pairs = pa.array([[{"lo": lo, "hi": hi} for lo, hi in x] for x in spans_out], kind)
+            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pairs, items], ["row", "text", "spans", "items"])
+
+        rows = map_batches(rows, find, result if k == parts - 1 else schema)
+    return rows
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -42,7 +42,7 @@ FAIRNESS = 20.0
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 #: Caches of a worker, in words.
-KEPT = 400_000
+KEPT = 150_000
 
 NEUTRAL = "people"
 IDENTITY_GROUPS = (
