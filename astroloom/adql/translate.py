@@ -307,7 +307,8 @@ class _Renderer:
             items.append(text)
             if columns is not None:
                 columns.append(name or text)
-        sql = "SELECT " + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
+        hint = self.bound.get(id(scope), "")
+        sql = f"SELECT {hint}" + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
         if q.where is not None:
             sql += " WHERE " + self.expr(q.where, scope)
         scope.aliases = {i.alias.lower() for i in q.items if i.alias}
@@ -414,7 +415,7 @@ class _Renderer:
             (point, a), (centre, b), radius = found
             if not 0 < radius <= cells.MAX_RADIUS:
                 continue
-            self.bound[id(scope)] = "cells"
+            self.bound[id(scope)] = ""
             one = cells.point_side(quoted(a.table.view), *point, radius)
             many = cells.circle_side(quoted(b.table.view), *centre, radius)
             on = [f"{quoted(a.alias)}.{quoted(cells.CELL)} = {quoted(b.alias)}.{quoted(cells.CELL)}"]
@@ -454,13 +455,18 @@ class _Renderer:
             for a in call.args:
                 self.parsed.pop(id(a), None)
             return None
-        self.bound[id(scope)] = "cells"
+        # Costly tests on few bytes: shuffled by cell, never left to the few
+        # tasks that a small table's scan would have.
+        self.bound[id(scope)] = f"/*+ MERGE({quoted(owners[0].alias)}) */ "
         one, two = (quoted(o.alias) for o in owners)
         on = [f"{one}.{quoted(cells.CELL)} = {two}.{quoted(cells.CELL)}"]
         if kinds == ["region", "region"]:  # a pair counts in the first cell both touch
             on.append(
                 f"{one}.{quoted(cells.CELL)} = array_min(array_intersect({one}.{quoted(cells.CELLS)}, {two}.{quoted(cells.CELLS)}))"
             )
+            caps = [f"{x}.{quoted(cells.CAP)}" for x in (one, two)]
+            apart = sphere.hav(f"{caps[0]}.ra", f"{caps[0]}.dec", f"{caps[1]}.ra", f"{caps[1]}.dec")
+            on.insert(1, f"{apart} <= {caps[0]}.radius + {caps[1]}.radius")
         if j.on is not None:
             on.append(self.expr(j.on, scope))
         return f"({sides[0]}) AS {one} INNER JOIN ({sides[1]}) AS {two} ON " + " AND ".join(on)
@@ -667,8 +673,11 @@ class _Renderer:
 
     def vertices(self, node: t.Node, scope: Scope) -> str:
         if isinstance(node, t.Call):
+            known = [literal_number(a) for a in node.args[1:]]
+            if None not in known:
+                return sphere.literal_polygon(list(zip(known[0::2], known[1::2], strict=True)))
             xs = self.coords(node, scope)
-            return sphere.vertex_array(xs[0::2], xs[1::2])
+            return sphere.polygon(xs[0::2], xs[1::2])
         return self.parsed.get(id(node)) or sphere.parse_region(self.expr(node, scope))
 
     def _fn_point(self, n: t.Call, scope: Scope) -> str:

@@ -22,9 +22,8 @@ def cone_contains(ra: str, dec: str, ra0: float | str, dec0: float | str, radius
 
 
 def polygon_contains(ra: str, dec: str, vertices: list[tuple[float, float]]) -> Column:
-    ras, decs = [sphere.number(float(a)) for a, _ in vertices], [sphere.number(float(d)) for _, d in vertices]
     cap = sphere.bounding_cap(vertices)
-    inside = F.expr(sphere.point_in_polygon(ra, dec, sphere.vertex_array(ras, decs)))
+    inside = F.expr(sphere.point_in_polygon(ra, dec, sphere.literal_polygon(vertices)))
     return inside if cap[2] >= 180 else F.expr(sphere.cone_literal(ra, dec, *cap)) & inside
 
 

@@ -99,13 +99,33 @@ def bounding_cap(vertices: list[tuple[float, float]]) -> tuple[float, float, flo
 
 
 # --- native expressions -----------------------------------------------------
-# A polygon expression is an array of struct(x, y, z); a literal becomes a
-# constant array, a region column is parsed to one (null where it is none).
+# A prepared polygon is struct(n, flat, sx, sy, sz, e): its count of vertices,
+# whether they lie on one great circle, their sum, and its edges, each with its
+# ends u and v, its normal n = u x v, d = u.v and q = n.n. A literal is prepared
+# here, a region column once for each row (null where it is no polygon).
 
+_EDGE = ("ux", "uy", "uz", "vx", "vy", "vz", "nx", "ny", "nz", "d", "q")
 
-def vertex_array(ras: list[str], decs: list[str]) -> str:
-    items = ", ".join(vector(a, d) for a, d in zip(ras, decs, strict=True))
-    return f"array({items})"
+
+def literal_polygon(vertices: list[tuple[float, float]]) -> str:
+    vs = [unit(*v) for v in vertices]
+    normal = next((n for v in vs[1:] if math.sqrt(dot(n := cross(vs[0], v), n)) > 1e-12), None)
+    flat = normal is None or all(abs(dot(v, normal)) / math.sqrt(dot(normal, normal)) < FLAT for v in vs)
+    edges = []
+    for u, v in zip(vs, vs[1:] + vs[:1], strict=True):
+        n = cross(u, v)
+        values = (*u, *v, *n, dot(u, v), dot(n, n))
+        edges.append("named_struct(" + ", ".join(f"'{k}', {number(x)}" for k, x in zip(_EDGE, values, strict=True)) + ")")
+    sums = [sum(c) for c in zip(*vs, strict=True)]
+    return (
+        f"named_struct('n', {len(vs)}, 'flat', {str(flat).lower()}, 'sx', {number(sums[0])}, 'sy', {number(sums[1])},"
+        f" 'sz', {number(sums[2])}, 'e', array({', '.join(edges)}))"
+    )
+
+
+def polygon(ras: list[str], decs: list[str]) -> str:
+    """A polygon whose coordinates are expressions."""
+    return prepare(f"array({', '.join(vector(a, d) for a, d in zip(ras, decs, strict=True))})")
 
 
 def vector(ra: str, dec: str) -> str:
@@ -115,8 +135,37 @@ def vector(ra: str, dec: str) -> str:
     )
 
 
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once under ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def prepare(vectors: str) -> str:
+    """A prepared polygon of an array of struct(x, y, z)."""
+    x, y, z = (f"(u.{a} * v.{b} - u.{b} * v.{a})" for a, b in (("y", "z"), ("z", "x"), ("x", "y")))
+    edge = (
+        "named_struct('ux', u.x, 'uy', u.y, 'uz', u.z, 'vx', v.x, 'vy', v.y, 'vz', v.z, 'nx', m.x, 'ny', m.y, 'nz', m.z,"
+        " 'd', u.x * v.x + u.y * v.y + u.z * v.z, 'q', m.x * m.x + m.y * m.y + m.z * m.z)"
+    )
+    normal = f"named_struct('x', {x}, 'y', {y}, 'z', {z})"
+    one = bind("get(vs, k)", "u", bind("get(vs, (k + 1) % size(vs))", "v", bind(normal, "m", edge)))
+    edges = f"transform(sequence(0, size(vs) - 1), k -> {one})"
+    total = [f"aggregate(es, 0D, (s, e) -> s + e.u{c})" for c in "xyz"]
+    # Flat: every vertex lies on the circle of the first edge that has one.
+    first = "get(filter(es, e -> e.q > 1e-24D), 0)"
+    flat = bind(
+        first,
+        "f",
+        f"f IS NULL OR forall(es, e -> abs(e.ux * f.nx + e.uy * f.ny + e.uz * f.nz) < {FLAT!r}D * sqrt(f.q))",
+    )
+    body = (
+        f"named_struct('n', size(vs), 'flat', {flat}, 'sx', {total[0]}, 'sy', {total[1]}, 'sz', {total[2]}, 'e', es)"
+    )
+    return bind(vectors, "vs", bind(edges, "es", body))
+
+
 def parse_region(region: str) -> str:
-    """Vertices of an STC-S ``POLYGON ICRS`` text; NULL where it is no such
+    """The polygon of an STC-S ``POLYGON ICRS`` text; NULL where it is no such
     text, has an odd or too small count of numbers, or any is no number."""
     tokens = f"split(trim(regexp_replace({region}, '[ \\\\t\\\\r\\\\n]+', ' ')), ' ')"
     numbers = "transform(slice(ts, 3, greatest(size(ts) - 2, 0)), t -> try_cast(t AS DOUBLE))"
@@ -125,144 +174,82 @@ def parse_region(region: str) -> str:
         " AND forall(ns, n -> n IS NOT NULL AND NOT isnan(n) AND abs(n) < 1e300D)"
     )
     pairs = f"transform(sequence(0, size(ns) DIV 2 - 1), k -> {vector('get(ns, 2 * k)', 'get(ns, 2 * k + 1)')})"
-    return bind(tokens, "ts", bind(numbers, "ns", f"CASE WHEN {sound} THEN {pairs} END"))
+    return bind(tokens, "ts", bind(numbers, "ns", f"CASE WHEN {sound} THEN {prepare(pairs)} END"))
 
 
-def cap_of(vertices: str) -> str:
+def cap_of(g: str) -> str:
     """struct(ra, dec, radius) of a cap that holds a polygon (degrees): around
     the sum of its vertices, the whole sky where that is no use."""
-    total = "named_struct(" + ", ".join(
-        f"'{c}', aggregate({vertices}, 0D, (s, v) -> s + v.{c})" for c in "xyz"
-    ) + ")"
-    least = f"aggregate({vertices}, 1D, (s, v) -> least(s, (v.x * c.x + v.y * c.y + v.z * c.z) / l))"
+    length = f"sqrt({g}.sx * {g}.sx + {g}.sy * {g}.sy + {g}.sz * {g}.sz)"
+    least = f"aggregate({g}.e, 1D, (s, e) -> least(s, (e.ux * {g}.sx + e.uy * {g}.sy + e.uz * {g}.sz) / l))"
     cap = (
-        "CASE WHEN l > 1e-9D AND m > 0.0017D THEN named_struct('ra', pmod(degrees(atan2(c.y, c.x)), 360D),"
-        " 'dec', degrees(asin(greatest(-1D, least(1D, c.z / l)))),"
+        f"CASE WHEN l > 1e-9D AND m > 0.0017D THEN named_struct('ra', pmod(degrees(atan2({g}.sy, {g}.sx)), 360D),"
+        f" 'dec', degrees(asin(greatest(-1D, least(1D, {g}.sz / l)))),"
         " 'radius', degrees(acos(greatest(-1D, least(1D, m)))) + 1e-5D)"
-        f" WHEN {vertices} IS NOT NULL THEN named_struct('ra', 0D, 'dec', 0D, 'radius', 180D) END"
+        f" WHEN {g} IS NOT NULL THEN named_struct('ra', 0D, 'dec', 0D, 'radius', 180D) END"
     )
-    length = "sqrt(c.x * c.x + c.y * c.y + c.z * c.z)"
-    return bind(total, "c", bind(length, "l", bind(least, "m", cap)))
+    return bind(length, "l", bind(least, "m", cap))
 
 
-def bind(value: str, name: str, body: str) -> str:
-    """``body`` with ``value`` computed once under ``name``."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+def _dot(e: str, part: str, x: str, y: str, z: str) -> str:
+    return f"({e}.{part}x * {x} + {e}.{part}y * {y} + {e}.{part}z * {z})"
 
 
-def _dot(a: str, b: str) -> str:
-    return f"({a}.x * {b}.x + {a}.y * {b}.y + {a}.z * {b}.z)"
-
-
-def _triple(p: str, a: str, b: str) -> str:
-    """p . (a x b)"""
+def inside(p: tuple[str, str, str], g: str, tag: str = "") -> str:
+    """Whether a vector is in the prepared polygon ``g`` (a bound name)."""
+    a, e = f"a{tag}", f"i{tag}"
+    angle = f"atan2({_dot(e, 'n', *p)}, {e}.d - {_dot(e, 'u', *p)} * {_dot(e, 'v', *p)})"
     return (
-        f"({p}.x * ({a}.y * {b}.z - {a}.z * {b}.y) + {p}.y * ({a}.z * {b}.x - {a}.x * {b}.z)"
-        f" + {p}.z * ({a}.x * {b}.y - {a}.y * {b}.x))"
+        f"({g}.n >= 3 AND NOT {g}.flat AND {_dot(g, 's', *p)} > 0D"
+        f" AND CAST(round(abs(aggregate({g}.e, 0D, ({a}, {e}) -> {a} + {angle})) / (2D * pi())) AS BIGINT) % 2 = 1)"
     )
 
 
-def _cross(a: str, b: str) -> str:
-    return (
-        f"named_struct('x', {a}.y * {b}.z - {a}.z * {b}.y, 'y', {a}.z * {b}.x - {a}.x * {b}.z,"
-        f" 'z', {a}.x * {b}.y - {a}.y * {b}.x)"
-    )
-
-
-def _next(vs: str, k: str) -> str:
-    return f"get({vs}, ({k} + 1) % size({vs}))"
-
-
-def _indices(vs: str) -> str:
-    return f"sequence(0, size({vs}) - 1)"
-
-
-def _flat(vs: str, tag: str) -> str:
-    """Whether all vertices lie on one great circle: every vertex triple that
-    starts with the first two distinct ones spans no volume."""
-    k = f"k{tag}"
-    return (
-        f"forall({_indices(vs)}, {k} -> abs({_triple(f'get({vs}, {k})', f'get({vs}, 0)', f'get({vs}, 1)')}) < {FLAT!r}D"
-        f" AND abs({_triple(f'get({vs}, {k})', f'get({vs}, 1)', f'get({vs}, 2)')}) < {FLAT!r}D)"
-    )
+_P = ("p.x", "p.y", "p.z")
 
 
-def _side(p: str, vs: str, tag: str) -> str:
-    """Positive on the polygon's own side of the sphere."""
-    a, v = f"s{tag}", f"w{tag}"
-    return f"aggregate({vs}, 0D, ({a}, {v}) -> {a} + {_dot(p, v)})"
+def point_in_polygon(ra: str, dec: str, g: str) -> str:
+    return bind(g, "g", bind(vector(ra, dec), "p", inside(_P, "g")))
 
 
-def _turns(p: str, vs: str, tag: str) -> str:
-    a, k = f"a{tag}", f"i{tag}"
-    u, v = f"get({vs}, {k})", _next(vs, k)
-    angle = f"atan2({_triple(p, u, v)}, {_dot(u, v)} - {_dot(p, u)} * {_dot(p, v)})"
-    return f"aggregate({_indices(vs)}, 0D, ({a}, {k}) -> {a} + {angle})"
+def _near(c: tuple[str, str, str], e: str, radius: str) -> str:
+    """Whether an edge comes within ``radius`` (radians) of a vector: its
+    beginning by the chord, which keeps its digits where a cosine is flat, or
+    its inner points by the distance from its great circle."""
+    chord = " + ".join(f"power({x} - {e}.u{k}, 2D)" for x, k in zip(c, "xyz", strict=True))
+    ends = f"({chord} <= 4D * power(sin(least(pi(), {radius}) / 2D), 2D))"
+    off = _dot(e, "n", *c)
+    band = f"({radius} >= pi() / 2D OR power({off}, 2D) <= power(sin({radius}), 2D) * {e}.q)"
 
+    def triple(a: str, b: str) -> str:  # c . (a x b), a and b parts of the edge
+        x, y, z = (f"({e}.{a}{i} * {e}.{b}{j} - {e}.{a}{j} * {e}.{b}{i})" for i, j in (("y", "z"), ("z", "x"), ("x", "y")))
+        return f"({c[0]} * {x} + {c[1]} * {y} + {c[2]} * {z})"
 
-def inside(p: str, vs: str, tag: str = "") -> str:
-    """Whether vector ``p`` is in the polygon ``vs`` (both bound names)."""
-    return (
-        f"(size({vs}) >= 3 AND NOT {_flat(vs, tag)} AND {_side(p, vs, tag)} > 0D"
-        f" AND CAST(round(abs({_turns(p, vs, tag)}) / (2D * pi())) AS BIGINT) % 2 = 1)"
-    )
+    return f"({ends} OR ({e}.q > 1e-30D AND {band} AND {triple('n', 'u')} >= 0D AND {triple('v', 'n')} >= 0D))"
 
 
-def point_in_polygon(ra: str, dec: str, vertices: str) -> str:
-    return bind(vertices, "vs", bind(vector(ra, dec), "p", inside("p", "vs")))
-
-
-def _near_arc(c: str, u: str, v: str, radius: str, tag: str) -> str:
-    """Whether the arc u-v comes within ``radius`` (radians) of ``c``."""
-    n = f"n{tag}"
-    # By the chord, which keeps its digits where a cosine is flat.
-    chord = f"sqrt(power({c}.x - {u}.x, 2D) + power({c}.y - {u}.y, 2D) + power({c}.z - {u}.z, 2D))"
-    near_end = f"({chord} <= 2D * sin(least(pi(), {radius}) / 2D))"
-    along = (
-        f"(sqrt({_dot(n, n)}) > 1e-15D AND {_dot(_paren(_cross(n, u)), c)} >= 0D AND {_dot(_paren(_cross(v, n)), c)} >= 0D"
-        f" AND abs(asin(greatest(-1D, least(1D, {_dot(c, n)} / sqrt({_dot(n, n)}))))) <= {radius})"
-    )
-    return f"({near_end} OR {bind(_cross(u, v), n, along)})"
-
-
-def _paren(x: str) -> str:
-    return f"({x})"
-
-
-def circle_meets_polygon(ra0: str, dec0: str, radius: str, vertices: str) -> str:
-    r = f"radians({radius})"
-    edges = f"exists({_indices('vs')}, k -> {_near_arc('c', 'get(vs, k)', _next('vs', 'k'), r, 'e')})"
-    body = f"(size(vs) >= 3 AND ({radius}) >= 0D AND ({inside('c', 'vs')} OR {edges}))"
-    return bind(vertices, "vs", bind(vector(ra0, dec0), "c", body))
-
-
-def _arcs_cross(a: str, b: str, c: str, d: str) -> str:
-    """Whether the arcs a-b and c-d cross at an inner point of both: the four
-    orientations agree only at the crossing on the arcs' own side."""
-    s1, s2 = _triple(c, a, b), _triple(d, a, b)
-    s3, s4 = _triple(a, c, d), _triple(b, c, d)
-    return (
-        f"(({s1} > 0D AND {s2} < 0D AND {s3} < 0D AND {s4} > 0D)"
-        f" OR ({s1} < 0D AND {s2} > 0D AND {s3} > 0D AND {s4} < 0D))"
-    )
+def circle_meets_polygon(ra0: str, dec0: str, radius: str, g: str) -> str:
+    near = f"exists(g.e, e -> {_near(_P, 'e', f'radians({radius})')})"
+    body = f"(g.n >= 3 AND ({radius}) >= 0D AND ({inside(_P, 'g')} OR {near}))"
+    return bind(g, "g", bind(vector(ra0, dec0), "p", body))
 
 
 def polygons_meet(first: str, second: str) -> str:
-    crossing = (
-        f"exists({_indices('us')}, k -> exists({_indices('vs')}, m -> "
-        f"{_arcs_cross('get(us, k)', _next('us', 'k'), 'get(vs, m)', _next('vs', 'm'))}))"
-    )
+    """A vertex inside the other, edges that cross (the four orientations agree
+    only at a crossing on the arcs' own side), or a vertex on an edge."""
+    start = lambda e: (f"{e}.ux", f"{e}.uy", f"{e}.uz")
+    s1, s2 = _dot("e", "n", "f.ux", "f.uy", "f.uz"), _dot("e", "n", "f.vx", "f.vy", "f.vz")
+    s3, s4 = _dot("f", "n", "e.ux", "e.uy", "e.uz"), _dot("f", "n", "e.vx", "e.vy", "e.vz")
+    crossing = f"exists(g.e, e -> exists(h.e, f -> {s1} * {s2} < 0D AND {s3} * {s4} < 0D AND {s1} * {s3} < 0D))"
 
-    def touches(points: str, shape: str, tag: str) -> str:
-        edge = _near_arc("p", f"get({shape}, m)", _next(shape, "m"), f"{TOUCH!r}D", tag)
-        return f"exists({points}, p -> exists({_indices(shape)}, m -> {edge}))"
+    def touches(points: str, shape: str) -> str:
+        return f"exists({points}.e, f -> exists({shape}.e, e -> {_near(start('f'), 'e', f'{TOUCH!r}D')}))"
 
     body = (
-        f"(size(us) >= 3 AND size(vs) >= 3 AND (exists(us, p -> {inside('p', 'vs', 'v')})"
-        f" OR exists(vs, p -> {inside('p', 'us', 'u')}) OR {crossing}"
-        f" OR {touches('us', 'vs', 't')} OR {touches('vs', 'us', 't')}))"
+        f"(g.n >= 3 AND h.n >= 3 AND (exists(g.e, e -> {inside(start('e'), 'h', 'h')})"
+        f" OR exists(h.e, e -> {inside(start('e'), 'g', 'g')}) OR {crossing} OR {touches('g', 'h')} OR {touches('h', 'g')}))"
     )
-    return bind(first, "us", bind(second, "vs", body))
+    return bind(first, "g", bind(second, "h", body))
 
 
 # --- plain numbers (tests, pruning) ------------------------------------------

@@ -74,6 +74,7 @@ def touched(ra: str, dec: str, radius: str, h: float) -> str:
 REGION_HEIGHT = 1.0
 REGION = "__sky_region"
 CELLS = "__sky_cells"
+CAP = "__sky_cap"
 
 
 def region_point_side(table: str, ra: str, dec: str) -> str:
@@ -83,9 +84,15 @@ def region_point_side(table: str, ra: str, dec: str) -> str:
 def region_side(table: str, region: str) -> str:
     """SQL of the table with its regions parsed once, and a row for each cell
     that a region's bounding cap touches; rows without a region have no cell."""
-    parsed = f"SELECT *, {sphere.parse_region(region)} AS `{REGION}` FROM {table}"
-    capped = f"SELECT *, {sphere.cap_of(f'`{REGION}`')} AS __cap FROM ({parsed})"
-    cells = touched("__cap.ra", "__cap.dec", "__cap.radius", REGION_HEIGHT)
-    listed = f"SELECT *, {cells} AS `{CELLS}` FROM ({capped})"
-    # Outer: a plain explode makes the optimizer add a filter that repeats all of the above.
+    cells = touched("c.ra", "c.dec", "c.radius", REGION_HEIGHT)
+    found = sphere.bind(
+        sphere.parse_region(region),
+        "g",
+        sphere.bind(sphere.cap_of("g"), "c", f"named_struct('g', g, 'c', c, 's', {cells})"),
+    )
+    # The draw is always true. It keeps the optimizer from copying the whole
+    # expression into the null filters that it infers from the join.
+    once = f"SELECT *, IF(rand(0) >= 0D, {found}, NULL) AS __sky FROM {table}"
+    listed = f"SELECT *, __sky.g AS `{REGION}`, __sky.c AS `{CAP}`, __sky.s AS `{CELLS}` FROM ({once})"
+    # Outer: a plain explode would make it add a filter on the cells.
     return f"SELECT *, explode_outer(`{CELLS}`) AS `{CELL}` FROM ({listed})"
