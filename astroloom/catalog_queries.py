@@ -11,6 +11,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,19 @@ _REGION = (
 )
 
 
+_ENGINES: dict[tuple, Engine] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The session's engine for one folder, built once, as a service would."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir)
+    known = _ENGINES.get(key)
+    if known is None or not spark.catalog.tableExists(known.registry.find("base.region").view):
+        known = _ENGINES[key] = new_engine(spark, sf_dir)
+    return known
+
+
+def new_engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with the driver tables of one folder. View names carry the
     folder's tag, so that engines of several folders do not mix."""
     tag = f"d{abs(hash(sf_dir)) % 10**9}"
@@ -435,7 +448,11 @@ adql(
     "SELECT a.id AS a, b.id AS b FROM sky.footprints AS a JOIN sky.footprints AS b ON a.id < b.id"
     " AND INTERSECTS(a.s_region, b.s_region) = 1",
 )
-del SQL["geo_region_region"]
+# Squares on whole degrees meet if their corners are two degrees apart at most.
+SQL["geo_region_region"] = with_sky(
+    "SELECT a.id AS a, b.id AS b FROM sky.footprints AS a JOIN sky.footprints AS b ON a.id < b.id AND abs(a.y - b.y) <= 2"
+    " AND least(abs(a.x - b.x), 360 - abs(a.x - b.x)) <= 2"
+)
 _MATCH = f"SELECT s.id AS star, g.id AS galaxy FROM sky.stars AS s, sky.galaxies AS g WHERE {hav('s.ra', 's.dec', 'g.ra', 'g.dec')} <= 1.0"
 adql(
     "geo_crossmatch",
@@ -611,10 +628,14 @@ def _sharded(spark: SparkSession, sf_dir: str) -> Engine:
 
     root = f"{work_folder(spark, 'hats')}/sky/stars"
     frame_ = engine(spark, sf_dir).registry.frame("sky.stars").select("id", "ra", "dec", "mag")
-    pixel = F.udf(lambda a, d: healpix.pixel_of(1, a, d), "int")
     from .shipping import ship
 
     ship(spark)
+
+    @F.pandas_udf("int")
+    def pixel(ra: pd.Series, dec: pd.Series) -> pd.Series:
+        return pd.Series([healpix.pixel_of(1, a, d) for a, d in zip(ra, dec, strict=True)])
+
     frame_.withColumn("Norder", F.lit(1)).withColumn("Npix", pixel("ra", "dec")).write.partitionBy("Norder", "Npix").parquet(f"{root}/dataset")
     Path = spark._jvm.org.apache.hadoop.fs.Path
     target = Path(f"{root}/partition_info.csv")
@@ -649,8 +670,9 @@ def images(spark: SparkSession, sf_dir: str) -> Engine:
     """caom.* and ivoa.obscore over the customers: one square image each."""
     from .obscore import caom
 
-    own = engine(spark, sf_dir)
-    base = spark.sql(_PLANES.replace("FROM customer", "FROM {c}"), c=own.registry.frame("base.customer"))
+    base_engine = engine(spark, sf_dir)
+    own = Engine(spark, base_engine.registry.scoped())
+    base = spark.sql(_PLANES.replace("FROM customer", "FROM {c}"), c=base_engine.registry.frame("base.customer"))
     none = "CAST(NULL AS STRING)"
     frames = {
         "observation": base.selectExpr("obs_uri", "collection", "CAST(k AS STRING) AS obs_id", f"{none} AS instrument", f"{none} AS target_name", f"{none} AS facility"),
