@@ -54,16 +54,26 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: kind -> pattern; the first that matches at a place wins.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "credential": r"\b(?:AKIA[0-9A-Z]{16}|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_.-]{8,128})",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "name": rf"\b(?:(?:{_TITLE})\.? [{_U}][{_L}]{{1,30}}(?: [{_U}][{_L}]{{1,30}})?|(?:{_LATIN}) [{_U}][{_L}]{{1,30}})(?![{_L}])|(?<![а-яА-Я])(?:{_CYRILLIC}) [А-Я][а-я]{{1,30}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All patterns, first those of letters and digits alike; the others are only
+#: tried where their first character stands.
+ANY = "|".join(
+    (
+        f"(?:{PATTERNS['email']})",
+        "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "ssn", "ip", "card")) + ")",
+        f"(?=[AaPpSsTt])(?:{PATTERNS['credential']})",
+        f"(?=[A-Z])(?:{PATTERNS['iban']}|{PATTERNS['name'].split('|(?<![а-яА-Я])')[0]})",
+        f"(?=[А-Я])(?:(?<![а-яА-Я]){PATTERNS['name'].split('|(?<![а-яА-Я])')[1]})",
+    )
+)
 
 _STEMS = "Bal Ber Bran Cal Car Cor Dal Dor Fen Fer Gal Gar Hal Hol Jor Kel Lan Lor Mar Mer Nor Oll Pel Ran Ros Sal Sel Tal Tor Val Ver Wil".split()
 _MIDDLES = "ba be bi da de di ga ge ka ke la le li ma me mi na ne ni ra re ri sa se ta te ti va ve vi wa we".split()
