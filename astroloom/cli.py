@@ -92,9 +92,11 @@ def main(argv: list[str] | None = None) -> int:
     for s in engine.registry.skipped:
         print(f"skipped {s.uri}: {s.reason}", file=sys.stderr)
     down = dt.datetime.now(dt.UTC) + dt.timedelta(minutes=args.ttl) if args.ttl else None
-    service = Service(
-        engine, Jobs(engine, args.store, args.max_jobs), base, token, down, QueryLog(spark, f"{args.store}/query_log"), f"{args.store}/ingest"
-    )
+    log = QueryLog(spark, f"{args.store}/query_log")
+    log.register(engine.registry)
+    engine.registry.publish_schema()
+    jobs = Jobs(engine, args.store, args.max_jobs, log=log)
+    service = Service(engine, jobs, base, token, down, log, f"{args.store}/ingest")
     http = server(service, args.host, args.port)
     print(f"serving {base}/", flush=True)
     try:

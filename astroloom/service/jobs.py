@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -15,7 +16,7 @@ from ..engine import ASYNC_TIMEOUT, Engine
 from ..errors import InvalidParameterError, ResourceLimitError, ServiceError
 from ..output import content_type, serialize
 from .params import TapRequest
-from .tap import run_request
+from .tap import QueryLog, run_request
 
 PENDING, QUEUED, EXECUTING, COMPLETED, ERROR, ABORTED, HELD, ARCHIVED, SUSPENDED, UNKNOWN = (
     "PENDING QUEUED EXECUTING COMPLETED ERROR ABORTED HELD ARCHIVED SUSPENDED UNKNOWN".split()
@@ -61,6 +62,7 @@ class Jobs:
         runner: Callable[[Job], bytes] | None = None,
         clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC),
         queue: int = 100,
+        log: QueryLog | None = None,
     ) -> None:
         if "://" in store and not store.startswith("file://"):
             raise NotImplementedError("results are stored in a local or mounted folder")
@@ -68,13 +70,22 @@ class Jobs:
         self.store.mkdir(parents=True, exist_ok=True)
         self.pool = ThreadPoolExecutor(most, thread_name_prefix="job")
         self.runner = runner or self._query
-        self.queue = queue
+        self.queue, self.log = queue, log
         self.jobs: dict[str, Job] = {}
         self.lock = threading.RLock()
 
     def _query(self, job: Job) -> bytes:
-        result = run_request(self.engine, job.request, job.parts, job.duration, job.group)
-        return serialize(result.table, job.request.format, result.columns, result.overflow)
+        r, rows, error, began = job.request, None, None, time.monotonic()
+        try:
+            result = run_request(self.engine, r, job.parts, job.duration, job.group)
+            rows = result.table.num_rows
+            return serialize(result.table, r.format, result.columns, result.overflow)
+        except Exception as e:
+            error = getattr(e, "message", type(e).__name__)
+            raise
+        finally:
+            if self.log is not None:
+                self.log.record("/tap/async", r.query, r.format, r.maxrec, rows, time.monotonic() - began, error)
 
     def create(self, request: TapRequest, parts: dict[str, bytes] | None = None) -> Job:
         with self.lock:

@@ -136,6 +136,8 @@ def sync(engine: Engine, pairs: list[tuple[str, str]], parts: dict[str, bytes] |
     began, request, result, error = time.monotonic(), None, None, None
     try:
         request = tap_request(Parameters(pairs))
+        if log is not None and "query_log" in request.query.lower():
+            log.register(engine.registry)  # what is logged by now
         result = run_request(engine, request, parts)
         body = serialize(result.table, request.format, result.columns, result.overflow)
         return Response(body, content_type(request.format))

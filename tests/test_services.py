@@ -42,6 +42,8 @@ def test_sync(spark, engine):
     assert r.status == 400 and b"Unknown column" in r.body and b"ERROR" in r.body
     log.register(engine.registry)
     rows = engine.run("SELECT endpoint, row_count, status, token_hash FROM service.query_log ORDER BY started_at").table.to_pylist()
+    again = tap.sync(engine, [("LANG", "ADQL"), ("FORMAT", "csv"), ("QUERY", "SELECT COUNT(*) AS n FROM service.query_log")], log=log)
+    assert again.body == b"n\n2\n"
     assert [x["status"] for x in rows] == ["OK", "ERROR"] and rows[0]["row_count"] == 2 and "secret" not in str(rows)
 
 
@@ -199,6 +201,38 @@ def test_links_files_and_cutouts(spark, engine, images):
         assert links.soda(engine, [("ID", plane), ("POS", shape)]).status == 200
 
 
+def test_remote_cutout_reads_ranges(tmp_path):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    path = tmp_path / "big.fits"
+    image_file(path, size=(1500, 1500))
+    raw, sent = path.read_bytes(), []
+
+    class Ranged(BaseHTTPRequestHandler):
+        def do_GET(self):
+            a, b = (int(x) for x in self.headers["Range"].removeprefix("bytes=").split("-"))
+            body = raw[a : b + 1]
+            sent.append(len(body))
+            self.send_response(206 if body else 416)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Ranged)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        read = links.range_reader(f"http://127.0.0.1:{server.server_port}/big.fits")
+        with path.open("rb") as f:
+            own = lambda at, n: (f.seek(at), f.read(n))[1]
+            assert links.cutout(read, "CIRCLE", [200.0, -10.0, 0.02]) == links.cutout(own, "CIRCLE", [200.0, -10.0, 0.02])
+        assert sum(sent) < len(raw) / 4
+    finally:
+        server.shutdown()
+
+
 def test_export(spark, engine, images):
     documents = caom.export_xml(spark, engine.registry)
     assert len(documents) == 4 and all(ET.fromstring(x).tag.endswith("Observation") for x in documents.values())
