@@ -8,9 +8,10 @@ enter, until the agenda is empty. Symbols that are no piece become byte pieces.
 No merge can cross a boundary whose two characters are adjacent in no piece.
 The model is asked at load: where, as usual, no piece has the space sign after
 another character, texts fall into segments before each run of space signs, and
-at characters that only stand alone; each segment has its own agenda, and equal
-segments share one result in a bounded memory. Where a vocabulary does have
-such pieces, the whole text is one agenda.
+between letters and characters that no piece links to them (punctuation, line
+ends); each segment has its own agenda, and equal segments share one result in
+a bounded memory. Where a vocabulary does have pieces with inner spaces, the
+whole text is one agenda.
 
 Check: in every Arrow batch, each segment that is new to the worker is also
 encoded and decoded by the sentencepiece library, and a difference stops the
@@ -71,10 +72,10 @@ class Encoder:
         self.rank = {p: order[score] << 32 for p, score in self.scores.items()}
         self.check = check
         long = [p for p in self.ids if len(p) > 1]
-        crosses = any(" " in p.lstrip(" ") for p in long)
+        self.segments = None if any(" " in p.lstrip(" ") for p in long) else _cutter(long)
         joined = {c for p in long for c in p}
-        alone = "".join(c for c in "\n\r\t" if c not in joined)
-        self.segments = None if crosses else re.compile(rf"[{alone}]| +[^ {alone}]*|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+").findall
+        #: A character that never merges, put before a segment without a space to check it.
+        self.mark = next((c for c in "\n\r\x00\x01\x02" if c not in joined), None)
         #: Segment -> its ids, joined by commas; and those that decode to another text.
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -157,11 +158,11 @@ class Encoder:
 
     def verify(self, found: dict[str, list[int]]) -> None:
         """Each segment against the library, which adds the dummy prefix
-        itself; one that has no space is put after a line break."""
+        itself; one that has no space is put after a mark."""
         lead = [s for s in found if s[0] == " "]
-        rest = [s for s in found if s[0] != " "]
-        skip = len(self.agenda(" ")) + len(self.agenda("\n"))
-        theirs = self.library.encode([s[1:] for s in lead] + ["\n" + s for s in rest], num_threads=1)
+        rest = [s for s in found if s[0] != " "] if self.mark else []
+        skip = len(self.agenda(" ")) + len(self.agenda(self.mark or ""))
+        theirs = self.library.encode([s[1:] for s in lead] + [f"{self.mark}{s}" for s in rest], num_threads=1)
         for k, s in enumerate(lead + rest):
             if theirs[k][skip if k >= len(lead) else 0 :] != found[s] and s != " ":  # "" has no ids there
                 raise RuntimeError(f"agenda and library differ on segment {s!r}")
@@ -188,6 +189,26 @@ class Encoder:
         return out
 
 
+def _cutter(long: list[str]):
+    """Splits a text where no merge can cross. Characters that stand next to
+    each other in a piece belong together; those that are not together with the
+    letters (with ``e``: punctuation, line ends) part from the others."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for p in long:
+        own = p.lstrip(" ")
+        for a, b in zip(own, own[1:]):
+            root[find(a)] = find(b)
+    apart = {c for c in root if find(c) != find("e")} | set("\n\r\t") - {c for c in root if find(c) == find("e")}
+    c = "".join(re.escape(x) for x in sorted(apart - {" "}))
+    return re.compile(f" *[{c}]+| *[^ {c}]+| +").findall
+
+
 def _utf8(raw: bytearray) -> str:
     return raw.decode("utf-8", "replace")
 
