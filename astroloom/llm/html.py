@@ -48,12 +48,12 @@ BLOCK_TAGS = frozenset(
         "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset "
         "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
         "menu nav ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead "
-        "title tr ul iframe object noscript"
+        "title tr ul iframe object noscript svg math"
     ).split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is markup or control, never article text.
-RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "object")
+#: Their content holds no markup; without an end tag they run to the page's end.
+RAW_TAGS = ("script", "style", "textarea", "title", "xmp", "iframe", "noframes")
 DROP_TAGS = frozenset(
     "nav footer aside form head select button fieldset dialog menu noscript template iframe svg math object".split()
 )
@@ -63,13 +63,16 @@ DROP_ROLES = frozenset(
 #: Words of a class or id that mark a container as no article content.
 DROP_NAMES = frozenset(
     (
-        "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
-        "sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead topbar "
-        "cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe signup "
-        "comment comments commentlist disqus replies reactions respond related recommended share sharing social "
+        "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot adunit banner "
+        "sponsor sponsored sponsors promo promotion "
+        "sidebar sidenav rail aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead topbar "
+        "cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe signup "
+        "comment comments commentlist disqus replies responses reactions discussion respond related recommended share sharing social "
         "widget toolbar pagination pager login search"
     ).split()
 )
+#: ``has-sidebar`` is no sidebar.
+MODIFIERS = frozenset("has have with no not without".split())
 #: Names that only count on a container outside the article (an article may have a header of its own).
 PAGE_NAMES = frozenset("header heading head top".split())
 
@@ -85,6 +88,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 #: A reference that the page's end cut off.
@@ -132,7 +136,7 @@ def _drops(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             found = _names(value)
-            if found & DROP_NAMES or not in_article and found & PAGE_NAMES:
+            if not found & MODIFIERS and (found & DROP_NAMES or not in_article and found & PAGE_NAMES):
                 return True
     return False
 
@@ -157,8 +161,8 @@ def blocks(page: str) -> list[Block]:
 
     def show(raw: str, last: bool) -> None:
         nonlocal linked
-        if not raw:
-            return
+        if not raw or stack and stack[-1][1] and stack[-1][0] not in BLOCK_TAGS:
+            return  # nothing, or a hidden part of a line
         text = entities.unescape(_CUT.sub("", raw) if last else raw)
         pieces.append(text)
         if links:
@@ -198,9 +202,8 @@ def blocks(page: str) -> list[Block]:
                 if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
                     dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                stack.append(
-                    (tag, dropped or _drops(tag, m[2], article), article or tag in ("article", "main"))
-                )
+                main = tag in ("article", "main") or bool(_MAIN.search(m[2]))
+                stack.append((tag, dropped or _drops(tag, m[2], article), article or main))
         if tag in BLOCK_TAGS:
             links = links if tag == "li" or tag == "br" else 0
             inner = tag if not closing else stack[-1][0] if stack else "div"

@@ -421,6 +421,9 @@ PROSE = "The best of the day is the walk to the sea and the way it was for all o
         (f"<p>{PROSE}</p><ul><li><a href=a>One link</a></li><li><a href=b>Two links</a></li></ul>", PROSE),
         ("<article><p>cut &am", "cut"),
         ("<article></article>", ""),
+        (f"<div class='page has-sidebar'><div role=main><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div></div>", PROSE),
+        (f"<article><p>{PROSE} <span style='display:none'>gone</span>x</p><svg><text>no</text></svg><noscript>no</noscript></article>", f"{PROSE} x"),
+        (f"<article><p>{PROSE}</p><table><tr><td>a</td><td>b</td></tr></table></article><div class=comments><article class=comment><p>{PROSE}</p></article></div>", f"{PROSE} a b"),
     ],
 )
 def test_html(page, expected):
