@@ -99,6 +99,8 @@ WINDOWS = {
     "FIRST_VALUE": "first_value",
     "LAST_VALUE": "last_value",
 }
+#: Ranks and tiles are 64-bit numbers.
+COUNTING = ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE")
 SHAPES = {"POINT": 3, "CIRCLE": 4}
 PREDICATES = ("CONTAINS", "INTERSECTS")
 REFUSED = ("BOX", "REGION")
@@ -614,7 +616,8 @@ class _Renderer:
         if special:
             return special(n, scope)
         if n.over is not None and n.name in WINDOWS | AGGREGATES:
-            return f"{self.plain(n, (WINDOWS | AGGREGATES)[n.name], scope)} OVER ({self.over(n.over, scope)})"
+            sql = f"{self.plain(n, (WINDOWS | AGGREGATES)[n.name], scope)} OVER ({self.over(n.over, scope)})"
+            return f"CAST({sql} AS BIGINT)" if n.name in COUNTING else sql
         if n.name in AGGREGATES:
             return self.plain(n, AGGREGATES[n.name], scope)
         if n.name in SCALARS and n.over is None:
