@@ -80,13 +80,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder."""
+    """All stages over ``documents``, each written to the shared folder; what
+    a stage has read goes when the next one's input is written."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{k}_{name}")
+            if k:
+                _delete(spark, f"{at}/{k - 1}_{STAGES[k - 1][0]}")
             docs = spark.read.parquet(f"{at}/{k}_{name}")
     return docs
