@@ -24,6 +24,7 @@ each code point of two texts.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,16 +195,26 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFra
     doc_id = F.col("doc_id")
     at = F.lit(n - 1)
     if heads:
-        # heads are in descending order; range j holds heads[j] >= id > heads[j + 1]
-        bounds = F.array(*[F.lit(h).cast("long") for h in heads[1:]]) if n > 1 else F.array().cast("array<long>")
-        passed = F.size(F.filter(bounds, lambda h: h >= doc_id))
+        # heads are in descending order; range j holds heads[j] >= id > heads[j + 1].
+        # Every step-th bound first, then the bounds of one step: not all of them.
+        bounds = heads[1:]
+        step = max(1, math.isqrt(len(bounds)))
+
+        def literal(ids: list[int]):
+            return F.array(*[F.lit(h).cast("long") for h in ids]) if ids else F.array().cast("array<long>")
+
+        coarse = F.size(F.filter(literal(bounds[::step]), lambda h: h >= doc_id))
+        steps = F.slice(literal(bounds), F.greatest((coarse - 1) * step, F.lit(0)) + 1, F.lit(step))
+        passed = F.when(coarse == 0, F.lit(0)).otherwise(
+            (coarse - 1) * step + F.size(F.filter(steps, lambda h: h >= doc_id))
+        )
         at = F.when(doc_id.isNull(), n - 1).otherwise(passed)
     is_head = doc_id.isin(heads) if heads else F.lit(True)
-    own = F.struct(at.cast("int").alias("at"), F.lit(False).alias("ahead"))
-    copy = F.struct(F.pmod(at - 1, F.lit(n)).cast("int").alias("at"), F.lit(True).alias("ahead"))
-    dealt = docs.select(
-        "doc_id", "text", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("to")
-    ).select("doc_id", "text", "to.at", "to.ahead")
+    placed = docs.select("doc_id", "text", at.cast("int").alias("place"), is_head.alias("is_head"))
+    own = F.struct(F.col("place").alias("at"), F.lit(False).alias("ahead"))
+    copy = F.struct(F.pmod(F.col("place") - 1, F.lit(n)).cast("int").alias("at"), F.lit(True).alias("ahead"))
+    to = F.explode_outer(F.when(F.col("is_head"), F.array(own, copy)).otherwise(F.array(own)))
+    dealt = placed.select("doc_id", "text", to.alias("to")).select("doc_id", "text", "to.at", "to.ahead")
     bounded_batches(spark)
     return (
         dealt.repartitionById(n, F.col("at"))
