@@ -7,7 +7,6 @@ for those that exercise sources, services or DataFrame operators.
 
 from __future__ import annotations
 
-import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import columns as sky
-from .model import ColumnMeta, TableMeta
+from .model import ColumnMeta
 from .registry import Registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -61,10 +60,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def new_engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine with the driver tables of one folder. View names carry the
-    folder's tag, so that engines of several folders do not mix."""
-    tag = f"d{abs(hash(sf_dir)) % 10**9}"
-    registry = _Tagged(spark, tag)
+    """An engine with the driver tables of one folder."""
+    registry = Registry(spark)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for t, df in frames.items():
         registry.add_frame(f"base.{t}", df)
@@ -90,24 +87,6 @@ def _columns(df: DataFrame) -> list[ColumnMeta]:
     return [column_of(f) for f in df.schema.fields]
 
 
-class _TaggedTable(TableMeta):
-    @property
-    def view(self) -> str:
-        return f"{getattr(self, 'tag', '')}_{TableMeta.view.fget(self)}"
-
-
-class _Tagged(Registry):
-    def __init__(self, spark: SparkSession, tag: str) -> None:
-        super().__init__(spark)
-        self.tag = tag
-
-    def add(self, table, frame=None):
-        # The view, not the table, is tagged: schema names stay as they are.
-        tagged = _TaggedTable(**{f.name: getattr(table, f.name) for f in dataclasses.fields(table)})
-        object.__setattr__(tagged, "tag", self.tag)
-        return super().add(tagged, frame)
-
-
 def _adql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return engine(spark, sf_dir).frame(text)

@@ -61,6 +61,8 @@ class TableMeta:
     hdu: int | None = None
     unresolved: tuple[str, ...] = ()
     provenance: dict = field(default_factory=dict, hash=False, compare=False)
+    #: The registry's own mark: registries of one session do not share views.
+    tag: str = field(default="", compare=False)
 
     @property
     def qualified(self) -> str:
@@ -68,7 +70,7 @@ class TableMeta:
 
     @property
     def view(self) -> str:
-        return f"v_{self.schema}__{self.name}".lower()
+        return f"v{self.tag}_{self.schema}__{self.name}".lower()
 
     def column(self, name: str) -> ColumnMeta | None:
         return next((c for c in self.columns if c.name.lower() == name.lower()), None)

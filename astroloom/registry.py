@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ class Registry:
 
     def __init__(self, spark: SparkSession | None = None) -> None:
         self.spark = spark
+        self.tag = uuid.uuid4().hex[:8]
         self.tables: dict[str, TableMeta] = {}
         self.frames: dict[str, Callable[[], DataFrame]] = {}
         self.skipped: list[SkippedFile] = []
@@ -53,6 +56,7 @@ class Registry:
         return sorted(self.tables) + (self.outer.names() if self.outer else [])
 
     def add(self, table: TableMeta, frame: DataFrame | Callable[[], DataFrame] | None = None) -> TableMeta:
+        table = replace(table, tag=self.tag)
         self.tables[table.qualified.lower()] = table
         if frame is not None:
             df = frame() if callable(frame) else frame
@@ -90,6 +94,7 @@ class Registry:
                 "tap_schema",
                 name,
                 tuple(ColumnMeta(f.name, tap_type(f.dataType), arraysize="*" if tap_type(f.dataType) == "char" else None, std=True) for f in struct),
+                tag=self.tag,
             )
         tables = [self.tables[k] for k in sorted(self.tables)]
         schemas = sorted({t.schema for t in tables})

@@ -7,9 +7,9 @@ import datetime as dt
 import hashlib
 import threading
 import time
-import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -90,30 +90,18 @@ def uploaded(engine: Engine, wanted: dict[str, str], parts: dict[str, bytes], li
                 parsed = parse("votable", parts[part])[0]
             except ServiceError as e:
                 raise InvalidParameterError("UPLOAD", e.message) from None
-            own = uuid.uuid4().hex[:12]
             columns = tuple(
                 ColumnMeta(f.name, f.datatype, f.unit, f.ucd, f.description, f.arraysize, utype=f.utype, xtype=f.xtype)
                 for f in parsed.fields
             )
-            table = _Upload("tap_upload", name, columns)
-            object.__setattr__(table, "own", own)
-            import pyarrow as pa
-
             df = engine.spark.createDataFrame(pa.Table.from_batches([parsed.batch()]))
-            scope.add(table, df)
-            views.append(table.view)
+            views.append(scope.add(TableMeta("tap_upload", name, columns), df).view)
         yield scope
     finally:
         for v in views:
             engine.spark.catalog.dropTempView(v)
 
 
-class _Upload(TableMeta):
-    @property
-    def view(self) -> str:
-        return f"upload_{getattr(self, 'own', '')}_{self.name}"
-
-
 class Response:
     def __init__(self, body: bytes, kind: str, status: int = 200, headers: dict | None = None) -> None:
         self.body, self.kind, self.status, self.headers = body, kind, status, headers or {}

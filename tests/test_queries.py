@@ -42,6 +42,21 @@ def test_query(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in ours) == sorted(tuple(plain(r[i]) for i in at) for r in rows)
 
 
+def test_registries_do_not_mix(spark):
+    """Two registries of one session have tables and a TAP_SCHEMA of their own."""
+    from astroloom.engine import Engine
+    from astroloom.registry import Registry
+
+    first, second = Registry(spark), Registry(spark)
+    for r, n in ((first, 1), (second, 2)):
+        r.add_frame("a.t", spark.range(n).withColumnRenamed("id", f"c{n}"))
+        r.publish_schema()
+    for r, n in ((first, 1), (second, 2)):
+        assert Engine(spark, r).run("SELECT * FROM a.t").table.num_rows == n
+        names = Engine(spark, r).run("SELECT column_name FROM TAP_SCHEMA.columns WHERE table_name = 'a.t'").table.to_pylist()
+        assert names == [{"column_name": f"c{n}"}]
+
+
 def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

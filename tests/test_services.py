@@ -61,7 +61,7 @@ def test_upload(engine, spark):
     assert json.loads(tap.sync(engine, q, {"p": body}).body)["data"] == [[1, "x"], [2, "y"]]
     assert tap.sync(engine, q, {}).status == 400 and tap.sync(engine, q, {"p": b"junk"}).status == 400
     assert engine.registry.find("tap_upload.mine") is None
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("upload_")]
+    assert not [t for t in spark.catalog.listTables() if "tap_upload" in t.name]
     with pytest.raises(ServiceError), tap.uploaded(engine, {"m": "p"}, {"p": b"x" * (2 << 20)}, 1):
         pass
 
