@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, map_batches, raw_texts, settle, table
+from .common import NULL_ID, id_key, map_batches, raw_texts, settle, table, text_key
 
 WIDTH = 3
 SEED = 42
@@ -71,14 +71,17 @@ def fingerprint(raw: bytes, width: int = WIDTH) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp): the SimHash of every whole text; long columns ``carried``
+    stay beside it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t) for t in raw_texts(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        more = [batch.column(c) for c in carried]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), *more], ["doc_id", "fp", *carried])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    return map_batches(own, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def _rotated(fp: Column, by: int) -> Column:
@@ -197,16 +200,30 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
+def _rooted(first: DataFrame, max_bits: int, dense: int) -> DataFrame:
+    """(fp, least, root) of distinct fingerprints."""
+    found = components(near_links(first.select("fp"), max_bits, dense))
+    return first.join(found, first.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def survivors(docs: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
+    """(id, k1, k2) of one row of each component: the smallest id, of rows with
+    that id the smallest text key. Rows with one text have one component, so
+    the three name a row's component even where ids are null or repeat."""
+    k1, k2 = text_key(F.col("text"))
+    fps = settle(fingerprints(docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")), "k1", "k2"))
+    own = F.struct(id_key(F.col("doc_id")).alias("id"), "k1", "k2")
+    first = settle(fps.groupBy("fp").agg(F.min(own).alias("least")))
+    named = _rooted(first, max_bits, dense)
+    return named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     fps = settle(fingerprints(docs))
     first = fps.groupBy("fp").agg(F.min(id_key(F.col("doc_id"))).alias("least"))
-    first = settle(first)
-    found = components(near_links(first.select("fp"), max_bits, dense))
     # A component's id: the least id of its members, roots included.
-    named = first.join(found, first.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    named = _rooted(settle(first), max_bits, dense)
     ids = settle(named.groupBy("root").agg(F.min("least").alias("component")))
     labels = named.join(ids, "root").select("fp", "component")
     return fps.join(labels, "fp").select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astroloom.llm import decontamination, linededup, pieces, simhash, toxicity
-from astroloom.llm.common import id_key, settle, shared_dir, table
+from astroloom.llm.common import id_key, settle, shared_dir, table, text_key
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +40,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (of
-    rows that repeat that id, one)."""
-    found = simhash.near_duplicates(docs).select(
-        id_key(F.col("doc_id")).alias("id"), id_key(F.col("component_id")).alias("component")
-    )
-    keep = settle(found.where(F.col("id") == F.col("component")).select("id").distinct())
+    """One row of each component stays: the one with the smallest id, of rows
+    that share that id (or have none) the one with the smallest text key. Rows
+    in different components each stay, whatever their ids."""
+    key = ["id", "k1", "k2"]
+    k1, k2 = text_key(F.col("text"))
+    own = [id_key(F.col("doc_id")).alias("id"), k1.alias("k1"), k2.alias("k2")]
+    keep = settle(simhash.survivors(docs))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, id_key(F.col("doc_id")).alias("id")).join(keep, "id", "left_semi")
-    repeats = settle(docs.groupBy(id_key(F.col("doc_id")).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = docs.select(row, *own).join(keep, key, "left_semi")
+    # Rows that repeat both id and text.
+    repeats = docs.select(*own).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(keep, key, "left_semi")
+    repeats = settle(repeats.select(*key))
     if repeats.isEmpty():
         return rows.select("row.*")
-    ones = rows.join(repeats.select("id"), "id", "left_anti")
-    some = rows.join(repeats.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    ones = rows.join(repeats, key, "left_anti")
+    order = F.struct(F.col("row.text").isNull(), F.xxhash64(F.col("row").cast("string")))
+    some = rows.join(repeats, key, "left_semi").groupBy(*key).agg(F.min_by("row", order).alias("row"))
     return ones.select("row").unionByName(some.select("row")).select("row.*")
 
 

@@ -72,6 +72,22 @@ def test_one_of_each_group_stays(stages):
     assert kept == set(groups) and after.count() == len(kept)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Rows are decided by their component, not by their id."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(30)]
+    own = [(None, t) for t in texts] + [(None, texts[0]), (None, None), (None, "")]
+    own += [(1, "alpha beta gamma delta epsilon"), (5, "ALPHA beta gamma delta epsilon"), (5, "nothing else has these words"), (5, "nothing else has these words")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").withColumn("row", F.lit("x"))
+    fps = [plain_simhash(t) for _, t in own]
+    # Components by index: no two rows have one "id".
+    groups = plain_components([(k, t) for k, (_, t) in enumerate(own)], fps)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, DATA).collect()]
+    assert len(got) == len(set(groups))
+    assert sorted(groups[own.index(r)] for r in got) == sorted(set(groups))
+    assert {t for i, t in got if i is None and t} == set(texts)
+    assert sorted(r for r in got if r[0]) == [(1, "alpha beta gamma delta epsilon"), (5, "nothing else has these words")]
+
+
 def test_contaminated_documents_go(spark, stages):
     before, after = stages["benchmark_decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
