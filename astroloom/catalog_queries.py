@@ -713,19 +713,31 @@ def scs_verb2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.frame(cone_search_adql(own.registry.find("sky.stars"), p))
 
 
-@frame(
-    "datalink_links",
+_LINKS_SQL = (
     f"SELECT plane_uri AS \"ID\", s AS semantics, CASE WHEN s = '#this' THEN k * 1024 END AS content_length FROM ({_PLANE_SQL}) p,"
-    " (VALUES ('#this'), ('#preview'), ('#cutout')) v(s) WHERE k < 20",
+    " (VALUES ('#this'), ('#preview'), ('#cutout')) v(s)"
 )
-def datalink_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _links(spark: SparkSession, sf_dir: str, planes: str) -> DataFrame:
     from .service.links import artifacts_of, link_rows
 
     own = images(spark, sf_dir)
-    ids = [r.plane_uri for r in own.registry.frame("caom.plane").where("t_min < 40").select("plane_uri").toLocalIterator()]
+    ids = own.registry.frame("caom.plane").where(planes).select("plane_uri")
     return link_rows(artifacts_of(own, ids)).select("ID", "semantics", "content_length")
 
 
+@frame("datalink_links", f"{_LINKS_SQL} WHERE k < 20")
+def datalink_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for 20 planes; ``datalink_links_all`` is the whole tables."""
+    return _links(spark, sf_dir, "t_min < 40")
+
+
+@frame("datalink_links_all", _LINKS_SQL)
+def datalink_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, "true")
+
+
 @frame(
     "upload_join",
     "SELECT n.n_name AS name, u.w AS w FROM nation n JOIN (VALUES (CAST(1 AS BIGINT), 0.5::DOUBLE), (3, 1.5), (5, 2.5), (7, 3.5), (99, 9.5)) u(k, w) ON n.n_nationkey = u.k",

@@ -73,3 +73,18 @@ def test_without_the_text_operators(monkeypatch):
     alone = importlib.import_module("__spark_entry__")
     assert set(alone.queries()) == set(catalog_queries.QUERIES)
     monkeypatch.undo()
+
+
+def test_links_of_all_planes(spark):
+    """The ids stay a frame, and no plane is left out; a request has its own ids only."""
+    from astroloom.service import links
+
+    own = catalog_queries.images(spark, str(DATA))
+    planes = own.registry.frame("caom.plane")
+    assert catalog_queries.QUERIES["datalink_links_all"](spark, str(DATA)).count() == 3 * planes.count() > 60
+    plan = links.artifacts_of(own, planes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
+    ids = sorted(r.plane_uri for r in planes.where("t_min < 40").collect())
+    reply = links.links(own, [("RESPONSEFORMAT", "csv"), *[("ID", x) for x in ids]])
+    lines = reply.body.decode().splitlines()[1:]
+    assert len(ids) == 20 and sorted(x.split(",")[0].strip('"') for x in lines) == sorted(ids * 3)
