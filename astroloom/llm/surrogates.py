@@ -9,7 +9,10 @@ ones); names keep title, gender and script.
 
 Coreference: a surrogate depends on the key, the kind and the value only, so a
 value has one surrogate in the whole corpus; names are mapped word by word, so
-that a full name and a mention by surname agree. Distinctness: given names move
+that a full name and a mention by surname agree. A name is found by a title or
+a listed given name before it; a second pass then replaces every bare mention of
+a document's found given names and surnames by the same map (parts of a
+hyphenated word too), and counts it. Distinctness: given names move
 by a keyed shift inside their list, which is one to one; every other kind is
 checked over the corpus: of the values that share a surrogate one keeps it, as
 do none that met an original value, and the rest draw again (longer after some
@@ -50,6 +53,20 @@ _U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _TITLE = "|".join(f"{MALE_TITLES} {FEMALE_TITLES} {OTHER_TITLES}".split())
 _LATIN = "|".join(f"{GIVEN['latin_m']} {GIVEN['latin_f']}".split())
 _CYRILLIC = "|".join(f"{GIVEN['cyrillic_m']} {GIVEN['cyrillic_f']}".split())
+#: O'Neil, McDonald, Smith-Jones.
+_SURNAME = rf"(?:[{_U}]['’])?[{_U}][{_L}]{{1,30}}+(?:['’-]?[{_U}][{_L}]{{1,30}}+){{0,3}}+"
+_CYRILLIC_SURNAME = r"[А-ЯЁ][а-яё]{1,30}+(?:-[А-ЯЁ][а-яё]{1,30}+){0,3}+"
+_LATIN_NAME = rf"\b(?:(?:{_TITLE})\.? {_SURNAME}(?: {_SURNAME})?|(?:{_LATIN}) {_SURNAME})(?![{_L}])"
+_CYRILLIC_NAME = rf"(?<![а-яёА-ЯЁ])(?:{_CYRILLIC}) {_CYRILLIC_SURNAME}"
+#: A word that may be a bare mention of a name.
+MENTION = rf"(?<![\p{{L}}\d_])(?:{_SURNAME}|{_CYRILLIC_SURNAME})(?![\p{{L}}\d_])"
+#: Capitalised words after a name at a sentence's end; they are no mentions.
+NOT_NAMES = (
+    "The This That These Those He She It They We You His Her Its Their Our Your My And But Or So If In On At As Of To For "
+    "From With By Then There Here When While Where What Who Why How Not No Yes After Before Der Die Das Ein Eine Und Le La "
+    "Les Un Une Et El Los Las Una Est Er Sie Es Wir Ich Il Elle"
+).split()
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: kind -> pattern; the first that matches at a place wins.
@@ -61,7 +78,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"\b(?:(?:{_TITLE})\.? [{_U}][{_L}]{{1,30}}(?: [{_U}][{_L}]{{1,30}})?|(?:{_LATIN}) [{_U}][{_L}]{{1,30}})(?![{_L}])|(?<![а-яА-Я])(?:{_CYRILLIC}) [А-Я][а-я]{{1,30}}",
+    "name": f"{_LATIN_NAME}|{_CYRILLIC_NAME}",
 }
 #: All patterns, first those of letters and digits alike; the others are only
 #: tried where their first character stands.
@@ -70,8 +87,8 @@ ANY = "|".join(
         f"(?:{PATTERNS['email']})",
         "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "ssn", "ip", "card")) + ")",
         f"(?=[AaPpSsTt])(?:{PATTERNS['credential']})",
-        f"(?=[A-Z])(?:{PATTERNS['iban']}|{PATTERNS['name'].split('|(?<![а-яА-Я])')[0]})",
-        f"(?=[А-Я])(?:(?<![а-яА-Я]){PATTERNS['name'].split('|(?<![а-яА-Я])')[1]})",
+        f"(?=[A-Z])(?:{PATTERNS['iban']}|{_LATIN_NAME})",
+        f"(?=[А-Я])(?:{_CYRILLIC_NAME})",
     )
 )
 
@@ -239,6 +256,36 @@ def entities(docs: DataFrame) -> DataFrame:
     )
 
 
+def _own_names(found: Column) -> Column:
+    """map<word, surrogate> of a text's given names and surnames."""
+    words = F.flatten(F.transform(F.filter(found, lambda x: x["entity"] == "name"), lambda x: x["words"]))
+    words = F.transform(words, lambda w: F.struct(w["value"].alias("value"), w["kind"].alias("kind"), w["surrogate"].alias("surrogate")))
+    names = F.array_sort(F.array_distinct(F.filter(words, lambda w: (w["kind"] != "keep") & ~w["value"].isin(NOT_NAMES))))
+    # A word of two kinds counts as the first.
+    ones = F.filter(names, lambda w, i: (i == 0) | (F.get(names, i - 1)["value"] != w["value"]))
+    return F.map_from_entries(F.transform(ones, lambda w: F.struct(w["value"], w["surrogate"])))
+
+
+def _mentions(gap: Column, names: Column) -> tuple[Column, Column]:
+    """A text between entities with its bare mentions of ``names`` replaced,
+    and their number."""
+    tokens = F.regexp_extract_all(gap, F.lit(MENTION), F.lit(0))
+
+    def known(x: Column) -> Column:
+        return F.map_contains_key(names, x)
+
+    def new(token: Column) -> Column:
+        parts = F.transform(F.split(token, "-"), lambda x: F.when(known(x), names[x]).otherwise(x))
+        return F.when(known(token), names[token]).otherwise(F.array_join(parts, "-"))
+
+    pieces = F.transform(
+        F.split(gap, MENTION, -1),
+        lambda g, i: F.concat(g, F.when(i < F.size(tokens), new(F.get(tokens, i))).otherwise("")),
+    )
+    met = F.filter(tokens, lambda x: known(x) | F.exists(F.split(x, "-"), known))
+    return F.array_join(pieces, ""), F.size(met)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, n_entities, kinds, text) of every row, surrogates in place."""
     own = ["id", "k1", "k2"]
@@ -250,20 +297,31 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     whole = (
         parts.join(mapped, ["kind", "value"])
         .groupBy(*own, "pos", "entity")
-        .agg(F.sort_array(F.collect_list(F.struct("sub", "surrogate"))).alias("words"))  # the words of one name
-        .select(*own, "pos", "entity", F.array_join(F.transform("words", lambda w: w["surrogate"]), " ").alias("new"))
+        .agg(F.sort_array(F.collect_list(F.struct("sub", "surrogate", "kind", "value"))).alias("words"))  # the words of one name
+        .select(*own, "pos", "entity", F.array_join(F.transform("words", lambda w: w["surrogate"]), " ").alias("new"), "words")
+    )
+    lists = whole.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("pos", "entity", "new", "words"))).alias("found"))
+    lists = lists.select(*own, "found", _own_names(F.col("found")).alias("names")).withColumn(
+        "found", F.transform("found", lambda x: F.struct(x["entity"].alias("entity"), x["new"].alias("new")))
     )
-    lists = whole.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("pos", "entity", "new"))).alias("found"))
     k1, k2 = text_key(F.col("text"))
     rows = docs.select("doc_id", "text", id_key(F.col("doc_id")).alias("id"), k1.alias("k1"), k2.alias("k2"))
     joined = rows.join(lists, own, "left")
-    gaps = F.split("text", ANY, -1)
+    named = F.coalesce(F.size("names"), F.lit(0)) > 0
+
+    def shown(gap: Column) -> Column:
+        text, n = _mentions(gap, F.col("names"))
+        plain = F.struct(gap.alias("text"), F.lit(0).alias("n"))
+        return F.when(named, F.struct(text.alias("text"), n.alias("n"))).otherwise(plain)
+
+    gaps = F.when(F.col("found").isNotNull(), F.transform(F.split("text", ANY, -1), shown))
     woven = F.array_join(
-        F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("found"), i)["new"], F.lit("")))), ""
+        F.transform("gaps", lambda g, i: F.concat(g["text"], F.coalesce(F.get(F.col("found"), i)["new"], F.lit("")))), ""
     )
-    return joined.select(
+    bare = F.aggregate("gaps", F.lit(0), lambda n, g: n + g["n"])
+    return joined.select("doc_id", "text", "found", gaps.alias("gaps")).select(
         "doc_id",
-        F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size("found"), F.lit(0)) + F.coalesce(bare, F.lit(0))).cast("long").alias("n_entities"),
         F.coalesce(
             F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["entity"]))), ","), F.lit("")
         ).alias("kinds"),

@@ -321,6 +321,27 @@ def test_surrogates_are_consistent(spark):
     assert again == got and other[1] != got[1]
 
 
+def test_bare_mentions_of_names(spark):
+    import re
+
+    texts = {
+        1: "John Smith came. Smith said John left, and Smith's Johnson-Smith stood by Smithson. John The end. The",
+        2: "Mary O'Neil met John McDonald and John Smith-Jones. O'Neil, McDonald and Smith-Jones agreed.",
+        3: "Иван Королёв пришёл. Королёв ушёл, Иван тоже.",
+        4: "Smith and John alone name nobody here.",
+    }
+    got = {r.doc_id: r for r in surrogates.pseudonymise(frame(spark, list(texts.items()))).collect()}
+    m = re.fullmatch(r"(\w+) (\w+) came\. (\w+) said (\w+) left, and (\w+)'s Johnson-(\w+) stood by Smithson\. (\w+) \w+ end\. The", got[1].text)
+    assert m and m[1] == m[4] == m[7] != "John" and m[2] == m[3] == m[5] == m[6] != "Smith"
+    assert got[1].n_entities == 6 and got[1].kinds == "name"
+    m = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+) and (\w+) (\w+)\. (\w+), (\w+) and (\w+) agreed\.", got[2].text)
+    assert m and (m[2], m[4], m[6]) == (m[7], m[8], m[9]) and len({m[2], m[4], m[6]}) == 3
+    assert not re.search("Neil|Donald|Jones|Smith|Mc", got[2].text)
+    m = re.fullmatch(r"(\w+) (\w+) пришёл\. (\w+) ушёл, (\w+) тоже\.", got[3].text)
+    assert m and m[1] == m[4] != "Иван" and m[2] == m[3] and "Корол" not in got[3].text
+    assert got[4].text == texts[4] and got[4].n_entities == 0
+
+
 def test_surrogates_stay_distinct(spark):
     """A format with few values: draws collide and are drawn again."""
     values = [("email", f"{a}@{b}.io") for a in "abcdefgh" for b in "xyz"]
