@@ -6,6 +6,12 @@ tags. Containers that are no article content by their tag, role or class (menus,
 page headers and footers, sidebars, notices, adverts, forms, reader comments)
 decide their blocks as boilerplate.
 
+Inside an article a class or id drops a container only where the whole name or
+its last word is one that articles don't use for their own text (comments,
+adverts); other such names (notice, discussion, related) are evidence: its
+blocks stay where pass one calls them good, short ones beside such a block. Ids of headings and of an
+article's sections are anchors and say nothing.
+
 Pass one, context-free: link density first (mostly link text is boilerplate),
 then length and stop-word density (long with stop words: good; long without:
 good inside an article element, else bad); short blocks stay ambiguous.
@@ -71,6 +77,14 @@ DROP_NAMES = frozenset(
         "widget toolbar pagination pager login search"
     ).split()
 )
+#: Of these, those that no part of an article's own text is named: dropped inside an article too.
+STRONG_NAMES = frozenset(
+    (
+        "ads adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot adunit sponsored sponsors sidebar "
+        "sidenav navbar breadcrumb breadcrumbs gdpr newsletter comment comments commentlist disqus pagination pager menubar"
+    ).split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: ``has-sidebar`` is no sidebar.
 MODIFIERS = frozenset("has have with no not without".split())
 #: Names that only count on a container outside the article (an article may have a header of its own).
@@ -102,6 +116,7 @@ class Block:
     dropped: bool
     article: bool
     kind: str
+    doubted: int = 0  # which container of an ambiguous name, inside an article
 
     def first_label(self) -> str:
         if self.dropped:
@@ -114,39 +129,53 @@ class Block:
             dense = sum(w in STOP_WORDS for w in ws) / len(ws)
             if dense >= STOP_DENSITY:
                 return "good"
-            if len(ws) >= LONG_WORDS:
+            if len(ws) >= LONG_WORDS and not self.doubted:
                 return "good" if self.article or self.kind in ("p", "h") else "bad"
+            if len(ws) >= LONG_WORDS:
+                return "bad"
         return "short"
 
 
-def _names(value: str) -> set[str]:
-    return set(_NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower()))
+def _names(value: str) -> list[str]:
+    return _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower())
 
 
-def _drops(tag: str, attributes: str, in_article: bool) -> bool:
+def _drops(tag: str, attributes: str, in_article: bool) -> str:
+    """"drop", "doubt" (inside an article) or ""."""
     if tag in DROP_TAGS or tag == "header" and not in_article:
-        return True
+        return "drop"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    out = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in DROP_ROLES:
-            return True
+            return "drop"
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id"):
-            found = _names(value)
-            if not found & MODIFIERS and (found & DROP_NAMES or not in_article and found & PAGE_NAMES):
-                return True
-    return False
+            return "drop"
+        if name not in ("class", "id") or name == "id" and (tag in HEADINGS or in_article and tag == "section"):
+            continue
+        if not in_article:
+            found = set(_names(value))
+            if not found & MODIFIERS and found & (DROP_NAMES | PAGE_NAMES):
+                return "drop"
+            continue
+        for one in value.split():
+            found = _names(one)
+            if not found or found[-1] not in DROP_NAMES or not MODIFIERS.isdisjoint(found):
+                continue
+            if found[-1] in STRONG_NAMES:
+                return "drop"
+            out = "doubt"
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in their order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in article, doubted
     pieces: list[str] = []
-    linked, links = 0, 0
+    linked, links, doubts = 0, 0, 0
     kind = "div"
 
     def close_block() -> None:
@@ -155,8 +184,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(text, linked, dropped, article, kind))
+                dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
+                out.append(Block(text, linked, dropped, article, kind, doubted))
         linked = 0
 
     def show(raw: str, last: bool) -> None:
@@ -198,12 +227,16 @@ def blocks(page: str) -> list[Block]:
                     break  # a stray end tag does not close the article
         elif tag not in VOID_TAGS and not m[2].rstrip().endswith("/"):
             if tag in BLOCK_TAGS or m[2]:
-                dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
                 if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
-                    dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
                 main = tag in ("article", "main") or bool(_MAIN.search(m[2]))
-                stack.append((tag, dropped or _drops(tag, m[2], article), article or main))
+                drops = _drops(tag, m[2], article)
+                if drops == "doubt" and not doubted:
+                    doubts += 1
+                    doubted = doubts
+                stack.append((tag, dropped or drops == "drop", article or main, doubted))
         if tag in BLOCK_TAGS:
             links = links if tag == "li" or tag == "br" else 0
             inner = tag if not closing else stack[-1][0] if stack else "div"
@@ -243,11 +276,13 @@ def main_text(page: str) -> str:
             continue  # a page that names its article has nothing else to show
         # Blocks of dropped containers are left out: they say nothing of their neighbours' kind.
         own = [i for i in own if not found[i].dropped]
-        second = _nearest([labels[i] for i in own])
-        for i, near in zip(own, second, strict=True):
-            keep[i] = near == "good" or near is None
-            if labels[i] == "short" and found[i].kind in ("p", "h") and region:
-                keep[i] = True
+        for doubt in sorted({found[i].doubted for i in own}):
+            part = [i for i in own if found[i].doubted == doubt]
+            second = _nearest([labels[i] for i in part])
+            for i, near in zip(part, second, strict=True):
+                keep[i] = near == "good" or near is None and not doubt
+                if labels[i] == "short" and found[i].kind in ("p", "h") and region and not doubt:
+                    keep[i] = True
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

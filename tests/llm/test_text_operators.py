@@ -451,6 +451,21 @@ def test_html(page, expected):
     assert html.main_text(page or "") == expected
 
 
+def test_names_inside_an_article_are_evidence():
+    own = "The walk to the sea was the best of the day and it is for all of us."
+    for tag in (
+        "section id='discussion'", "section id=related-work", "h2 id=search-algorithms", "section id='ad-hoc-networks'",
+        "p class=notice", "div class='discussion'", "div class='related-work'", "p class='search-result-text'",
+    ):
+        inner = f"<{tag}>{own}</{tag.split()[0]}>"
+        assert html.main_text(f"<article><p>{PROSE}</p>{inner}<p>{PROSE}</p></article>") == f"{PROSE} {own} {PROSE}", tag
+    inner = f"<section class=discussion><h2>Discussion</h2><p>{own}</p></section>"
+    assert html.main_text(f"<article><p>{PROSE}</p>{inner}</article>") == f"{PROSE} Discussion {own}"
+    assert html.main_text(f"<article><p>{PROSE}</p><h2 id=discussion>Discussion</h2><p>{PROSE}</p></article>") == f"{PROSE} Discussion {PROSE}"
+    for gone in (f"<div class='user-comments'><p>{own}</p></div>", "<p class=notice>Log in</p>", "<div class='share'>Share this</div>", "<div id=login>Log in or sign up</div>"):
+        assert html.main_text(f"<article><p>{PROSE}</p>{gone}</article>") == PROSE, gone
+
+
 def test_html_rows(spark, tmp_path):
     rows = [(1, "u", f"<article><p>{PROSE}\n\t x</p></article>"), (1, "u", None), (None, None, "<p>" * 3000), (2, "v", f"<article>{'<p>word</p>' * 20000}</article>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(str(tmp_path / "pages.parquet"))
