@@ -18,7 +18,10 @@ good inside an article element, else bad); short blocks stay ambiguous.
 Pass two: an ambiguous block takes the label of its nearest decided neighbour
 of the same region (the article, or what lies outside it); of two as near, the
 good one. A region without decided blocks keeps its ambiguous blocks if it is
-an article, or if the page has no article and they aren't links.
+an article, or if the page has no article and they aren't links. On a page with
+an article both passes also judge what lies outside it, but only a long block
+rich in stop words is good there. An <article> whose class says comment, teaser,
+related or advert counts only where no other block of the page is long and good.
 
 Results in unusual cases: null and empty pages give an empty text; unclosed or
 stray tags and cut-off references never fail; a page without any markup is one
@@ -85,6 +88,12 @@ STRONG_NAMES = frozenset(
     ).split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Classes of an <article> that is not the page's own.
+ASIDE_ARTICLES = frozenset(
+    "ad ads advert advertisement comment comments promo recommended related reply response sponsored teaser".split()
+)
+#: WordPress puts these before a post's terms.
+TERMS = frozenset("category tag type format status".split())
 #: ``has-sidebar`` is no sidebar.
 MODIFIERS = frozenset("has have with no not without".split())
 #: Names that only count on a container outside the article (an article may have a header of its own).
@@ -117,6 +126,10 @@ class Block:
     article: bool
     kind: str
     doubted: int = 0  # which container of an ambiguous name, inside an article
+    beside: bool = False  # in an article of ASIDE_ARTICLES
+
+    def is_long(self) -> bool:
+        return len(_WORD.findall(self.text)) >= LONG_WORDS
 
     def first_label(self) -> str:
         if self.dropped:
@@ -170,10 +183,23 @@ def _drops(tag: str, attributes: str, in_article: bool) -> str:
     return out
 
 
+def _beside(attributes: str) -> bool:
+    """Whether an <article> is a comment, a teaser or an advert by its class."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() != "class":
+            continue
+        for one in (m[2] or m[3] or m[4] or "").split():
+            found = _names(one)
+            if found and found[0] not in TERMS and MODIFIERS.isdisjoint(found):
+                if len(found) == 1 and found[0] in ASIDE_ARTICLES or found[-1] in ("comment", "teaser"):
+                    return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in their order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in article, doubted
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, dropped, in article, doubted, beside
     pieces: list[str] = []
     linked, links, doubts = 0, 0, 0
     kind = "div"
@@ -184,8 +210,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
-                out.append(Block(text, linked, dropped, article, kind, doubted))
+                dropped, article, doubted, beside = stack[-1][1:] if stack else (False, False, 0, False)
+                out.append(Block(text, linked, dropped, article, kind, doubted, beside))
         linked = 0
 
     def show(raw: str, last: bool) -> None:
@@ -227,16 +253,16 @@ def blocks(page: str) -> list[Block]:
                     break  # a stray end tag does not close the article
         elif tag not in VOID_TAGS and not m[2].rstrip().endswith("/"):
             if tag in BLOCK_TAGS or m[2]:
-                dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
+                dropped, article, doubted, beside = stack[-1][1:] if stack else (False, False, 0, False)
                 if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
                     stack.pop()
-                    dropped, article, doubted = stack[-1][1:] if stack else (False, False, 0)
+                    dropped, article, doubted, beside = stack[-1][1:] if stack else (False, False, 0, False)
                 main = tag in ("article", "main") or bool(_MAIN.search(m[2]))
                 drops = _drops(tag, m[2], article)
                 if drops == "doubt" and not doubted:
                     doubts += 1
                     doubted = doubts
-                stack.append((tag, dropped or drops == "drop", article or main, doubted))
+                stack.append((tag, dropped or drops == "drop", article or main, doubted, beside or tag == "article" and bool(m[2]) and _beside(m[2])))
         if tag in BLOCK_TAGS:
             links = links if tag == "li" or tag == "br" else 0
             inner = tag if not closing else stack[-1][0] if stack else "div"
@@ -268,12 +294,20 @@ def main_text(page: str) -> str:
     """The article's blocks, joined by one space."""
     found = blocks(page)
     labels = [b.first_label() for b in found]
+    if any(b.beside for b in found):
+        # Other articles' teasers and comments go, unless the page has no long text but them.
+        prose = any(x == "good" and not b.dropped and not b.beside and b.is_long() for b, x in zip(found, labels, strict=True))
+        for b in found:
+            b.dropped = b.dropped or b.beside and prose
     has_article = any(b.article and not b.dropped for b in found)
     keep = [False] * len(found)
     for region in (True, False):
-        own = [i for i, b in enumerate(found) if b.article is region and not (region and b.dropped)]
+        own = [i for i, b in enumerate(found) if b.article is region]
         if not region and has_article:
-            continue  # a page that names its article has nothing else to show
+            for i in own:  # the article is named: prose outside it has to be long
+                labels[i] = "bad" if labels[i] == "good" and not found[i].is_long() else labels[i]
+            if not any(labels[i] == "good" and not found[i].dropped for i in own):
+                continue
         # Blocks of dropped containers are left out: they say nothing of their neighbours' kind.
         own = [i for i in own if not found[i].dropped]
         for doubt in sorted({found[i].doubted for i in own}):

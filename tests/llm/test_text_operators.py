@@ -466,6 +466,18 @@ def test_names_inside_an_article_are_evidence():
         assert html.main_text(f"<article><p>{PROSE}</p>{gone}</article>") == PROSE, gone
 
 
+def test_text_outside_articles_is_judged():
+    story = f"<div class=story><p>{PROSE}</p><p>{PROSE}</p></div>"
+    other = "Other story of the day for all of us to read in the sun and by the sea."
+    assert html.main_text(f"{story}<article class=teaser><p>{other}</p></article>") == f"{PROSE} {PROSE}"
+    assert html.main_text(f"{story}<article class='comment odd'><p>{other}</p></article>") == f"{PROSE} {PROSE}"
+    assert html.main_text(f"{story}<article><p>{other}</p></article>") == f"{PROSE} {PROSE} {other}"
+    assert html.main_text(f"<ul><li><a href=a>Home of the news</a></li></ul><p>Tiny</p><article><p>{PROSE}</p></article><p>(c) x</p>") == PROSE
+    assert html.main_text(f"<article class='post category-related'><p>{PROSE}</p></article>") == PROSE
+    # A list of teasers has no other text.
+    assert html.main_text(f"<article class=teaser><p>{PROSE}</p></article><article class=teaser><p>{other}</p></article><p>(c) x</p>") == f"{PROSE} {other}"
+
+
 def test_html_rows(spark, tmp_path):
     rows = [(1, "u", f"<article><p>{PROSE}\n\t x</p></article>"), (1, "u", None), (None, None, "<p>" * 3000), (2, "v", f"<article>{'<p>word</p>' * 20000}</article>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(str(tmp_path / "pages.parquet"))
