@@ -14,7 +14,10 @@ article's sections are anchors and say nothing.
 
 Pass one, context-free: link density first (mostly link text is boilerplate),
 then length and stop-word density (long with stop words: good; long without:
-good inside an article element, else bad); short blocks stay ambiguous.
+good inside an article element, else bad); short blocks stay ambiguous. Stop
+words cover English, German, French and Spanish: where no long block of a page
+is rich in them, its language is taken for another one, and long blocks of low
+link density are good by their length alone.
 Pass two: an ambiguous block takes the label of its nearest decided neighbour
 of the same region (the article, or what lies outside it); of two as near, the
 good one. A region without decided blocks keeps its ambiguous blocks if it is
@@ -131,7 +134,14 @@ class Block:
     def is_long(self) -> bool:
         return len(_WORD.findall(self.text)) >= LONG_WORDS
 
-    def first_label(self) -> str:
+    def rich(self) -> bool:
+        """Long, shown, hardly linked and full of known stop words."""
+        ws = _WORD.findall(self.text.lower())
+        dense = len(ws) >= LONG_WORDS and sum(w in STOP_WORDS for w in ws) / len(ws) >= STOP_DENSITY
+        return dense and not self.dropped and self.linked / max(1, len(self.text)) <= LINK_DENSITY
+
+    def first_label(self, known: bool = True) -> str:
+        """``known``: whether the page's language is one of the stop words'."""
         if self.dropped:
             return "bad"
         n = len(self.text)
@@ -140,7 +150,7 @@ class Block:
         ws = _WORD.findall(self.text.lower())
         if len(ws) >= SHORT_WORDS:
             dense = sum(w in STOP_WORDS for w in ws) / len(ws)
-            if dense >= STOP_DENSITY:
+            if dense >= STOP_DENSITY or not known and len(ws) >= LONG_WORDS:
                 return "good"
             if len(ws) >= LONG_WORDS and not self.doubted:
                 return "good" if self.article or self.kind in ("p", "h") else "bad"
@@ -294,6 +304,8 @@ def main_text(page: str) -> str:
     """The article's blocks, joined by one space."""
     found = blocks(page)
     labels = [b.first_label() for b in found]
+    if any(x == "bad" and not b.dropped and b.is_long() for b, x in zip(found, labels, strict=True)) and not any(b.rich() for b in found):
+        labels = [b.first_label(False) for b in found]
     if any(b.beside for b in found):
         # Other articles' teasers and comments go, unless the page has no long text but them.
         prose = any(x == "good" and not b.dropped and not b.beside and b.is_long() for b, x in zip(found, labels, strict=True))

@@ -478,6 +478,21 @@ def test_text_outside_articles_is_judged():
     assert html.main_text(f"<article class=teaser><p>{PROSE}</p></article><article class=teaser><p>{other}</p></article><p>(c) x</p>") == f"{PROSE} {other}"
 
 
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "Старый дом стоял возле реки, где каждое лето собирались дети из соседних деревень и купались.",
+        "Stary dom stał nad rzeką, gdzie każdego lata zbierały się dzieci z okolicznych wsi i kąpały się.",
+        "Eski ev nehrin kenarında duruyordu ve her yaz komşu köylerden gelen çocuklar orada yüzüyordu hep birlikte.",
+    ],
+)
+def test_pages_in_other_languages(prose):
+    menu = "<ul><li><a href=a>x y z a b c d e f g h i j k l</a></li></ul>"
+    assert html.main_text(f"{menu}<div>{prose}</div><div>{prose}</div><div class=footer>{prose}</div>") == f"{prose} {prose}"
+    # Beside text in a known language such a block says nothing.
+    assert html.main_text(f"<div>{PROSE}</div><div>{prose}</div>") == PROSE
+
+
 def test_html_rows(spark, tmp_path):
     rows = [(1, "u", f"<article><p>{PROSE}\n\t x</p></article>"), (1, "u", None), (None, None, "<p>" * 3000), (2, "v", f"<article>{'<p>word</p>' * 20000}</article>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).write.parquet(str(tmp_path / "pages.parquet"))
