@@ -157,8 +157,8 @@ class Encoder:
         return {s: ",".join(map(str, ids)) for s, ids in found.items()}
 
     def verify(self, found: dict[str, list[int]]) -> None:
-        """Each segment against the library, which adds the dummy prefix
-        itself; one that has no space is put after a mark."""
+        """Each segment's ids and their text against the library, which adds
+        the dummy prefix itself; one that has no space is put after a mark."""
         lead = [s for s in found if s[0] == " "]
         rest = [s for s in found if s[0] != " "] if self.mark else []
         skip = len(self.agenda(" ")) + len(self.agenda(self.mark or ""))
@@ -166,6 +166,10 @@ class Encoder:
         for k, s in enumerate(lead + rest):
             if theirs[k][skip if k >= len(lead) else 0 :] != found[s] and s != " ":  # "" has no ids there
                 raise RuntimeError(f"agenda and library differ on segment {s!r}")
+        # The library takes the dummy prefix off.
+        for (s, ids), text in zip(found.items(), self.library.decode(list(found.values()), num_threads=1), strict=True):
+            if text != self.surfaces(ids)[s[0] == " " :]:
+                raise RuntimeError(f"decoded text and library differ on segment {s!r}")
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text."""

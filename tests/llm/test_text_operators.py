@@ -276,6 +276,13 @@ def test_a_wrong_agenda_is_noticed():
         e.encode(["the thing with that"])
 
 
+def test_a_wrong_surface_is_noticed():
+    e = pieces.Encoder(pieces.model_path())
+    e.surface[e.agenda(" the")[0]] = " teh"
+    with pytest.raises(RuntimeError, match="decoded text"):
+        e.encode(["see the thing"])
+
+
 # --- 6 -------------------------------------------------------------------------------
 
 PEOPLE = [
