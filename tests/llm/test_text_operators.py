@@ -447,7 +447,7 @@ PROSE = "The best of the day is the walk to the sea and the way it was for all o
         (f"<script>var a='<p>x</p>';</script><style>p{{}}</style><!-- <p>no</p> --><article><p>{PROSE}</p>", PROSE),
         (f"<div class=cookie-notice>{PROSE}</div><article><p>A &lt;b&gt; &#65;&#x42;</p><ul><li>one</li></ul><p>{PROSE}", f"A <b> AB one {PROSE}"),
         (f"<p>{PROSE}</p><ul><li><a href=a>One link</a></li><li><a href=b>Two links</a></li></ul>", PROSE),
-        ("<article><p>cut &am", "cut"),
+        ("<article><p>cut &am", "cut &am"),
         ("<article></article>", ""),
         (f"<div class='page has-sidebar'><div role=main><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div></div>", PROSE),
         (f"<article><p>{PROSE} <span style='display:none'>gone</span>x</p><svg><text>no</text></svg><noscript>no</noscript></article>", f"{PROSE} x"),
