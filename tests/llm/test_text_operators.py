@@ -298,7 +298,7 @@ PEOPLE = [
 
 def test_surrogates(spark):
     rows = PEOPLE + ODD[:5]
-    got = [(r.doc_id, r.n_entities, r.kinds, r.text) for r in surrogates.pseudonymise(frame(spark, rows, True)).collect()]
+    got = [(r.doc_id, r.n_entities, r.kinds, r.text) for r in surrogates.pseudonymise(frame(spark, rows, True), "key").collect()]
     assert len(got) == len(rows)
     text = {i: t for i, _, _, t in got}
     old = dict(rows)
@@ -310,7 +310,7 @@ def test_surrogates(spark):
 def test_surrogates_are_consistent(spark):
     import re
 
-    got = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, PEOPLE)).collect()}
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, PEOPLE), "key").collect()}
     mail = re.compile(r"\S+@\S+\w")
     assert mail.search(got[1])[0] == mail.search(got[2])[0].rstrip(";")  # one value, one surrogate
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]) and mail.search(got[1])[0].endswith(".com")
@@ -323,7 +323,7 @@ def test_surrogates_are_consistent(spark):
     assert m[1] in surrogates.GIVEN["latin_m"].split() and m[3] in surrogates.GIVEN["latin_f"].split()
     assert m[8] in surrogates.GIVEN["cyrillic_m"].split() and re.fullmatch("[А-Я][а-я]+", m[9])
     assert re.search(r"password=[0-9a-f]{18} token = \"[0-9a-f]{40}\" AKIA[0-9A-Z]{16}", got[4])
-    again = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, PEOPLE)).collect()}
+    again = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, PEOPLE), "key").collect()}
     other = {r.doc_id: r.text for r in surrogates.pseudonymise(frame(spark, PEOPLE), "another key").collect()}
     assert again == got and other[1] != got[1]
 
@@ -337,7 +337,7 @@ def test_bare_mentions_of_names(spark):
         3: "Иван Королёв пришёл. Королёв ушёл, Иван тоже.",
         4: "Smith and John alone name nobody here.",
     }
-    got = {r.doc_id: r for r in surrogates.pseudonymise(frame(spark, list(texts.items()))).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(frame(spark, list(texts.items())), "key").collect()}
     m = re.fullmatch(r"(\w+) (\w+) came\. (\w+) said (\w+) left, and (\w+)'s Johnson-(\w+) stood by Smithson\. (\w+) \w+ end\. The", got[1].text)
     assert m and m[1] == m[4] == m[7] != "John" and m[2] == m[3] == m[5] == m[6] != "Smith"
     assert got[1].n_entities == 6 and got[1].kinds == "name"
@@ -352,15 +352,15 @@ def test_bare_mentions_of_names(spark):
 def test_surrogates_stay_distinct(spark):
     """A format with few values: draws collide and are drawn again."""
     values = [("email", f"{a}@{b}.io") for a in "abcdefgh" for b in "xyz"]
-    found = surrogates.assign(spark.createDataFrame(values, "kind string, value string")).collect()
+    found = surrogates.assign(spark.createDataFrame(values, "kind string, value string"), "key").collect()
     assert len(found) == len(values) == len({r.surrogate for r in found})
     assert not {r.surrogate for r in found} & {v for _, v in values}
 
 
 def test_surrogates_are_native(spark):
-    plan = surrogates.pseudonymise(frame(spark, PEOPLE[:2]))._jdf.queryExecution().toString()
+    plan = surrogates.pseudonymise(frame(spark, PEOPLE[:2]), "key")._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
-    assert surrogates.pseudonymise(frame(spark, [])).collect() == []
+    assert surrogates.pseudonymise(frame(spark, []), "key").collect() == []
 
 
 # --- 7 -------------------------------------------------------------------------------
