@@ -14,7 +14,6 @@ from astroloom.llm import (
     decontamination,
     fingerprints,
     html,
-    licenses,
     linededup,
     pieces,
     sharding,
@@ -102,50 +101,6 @@ def test_any_span(spark):
             assert fingerprints.spans_equal(x, i, y, j, n) == (x.text[i : i + n] == y.text[j : j + n])
 
 
-# --- 2 -------------------------------------------------------------------------------
-
-
-def plain_licenses(text):
-    ws = [w.decode() for w in words((text or "").encode())]
-    places, labels = [], set()
-    for p, label in licenses.PHRASES.items():
-        parts = p.split()
-        for i in range(len(ws) - len(parts) + 1):
-            if ws[i : i + len(parts)] == parts:
-                places.append(i)
-                labels.add(label)
-    more, best = set(labels), 0.0
-    for lo in range(0, len(ws), licenses.STRIDE):
-        held = set(ws[lo : lo + licenses.BLOCK])
-        for label, notice in licenses.TEMPLATES:
-            t = set(notice.split())
-            share = len(t & held) / len(t)
-            if len(t & held) >= licenses.needed(len(t)):
-                more.add(label)
-                best = max(best, share)
-    first, last = (min(places), max(places)) if places else (None, None)
-    score = 1.0 if places else best
-    return (len(ws), len(places), first, last, ",".join(sorted(labels)), ",".join(sorted(more)), score)
-
-
-def test_licenses_brute_force(spark, tmp_path):
-    rng = random.Random(3)
-    pool = sorted({w for _, n in licenses.TEMPLATES for w in n.split()}) + "cc by general public license all rights reserved Über the and".split()
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 90)))) for i in range(60)]
-    rows += [(100 + i, f"Some words. {n.upper()}!\nMore") for i, (_, n) in enumerate(licenses.TEMPLATES)]
-    rows += [(200, "CC BY-NC 4.0 cc-by cc by"), (201, "K ccK by İ ALL rights-Reserved"), (202, "x " * 70 + "licensed under the Apache License"), *ODD]
-    frame(spark, rows, True).write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((repr(tuple(r)) for r in licenses.op2_licenses(spark, str(tmp_path)).collect()))
-    assert got == sorted(repr((i, *plain_licenses(t))) for i, t in rows)
-
-
-def test_licenses_are_native(spark, tmp_path):
-    frame(spark, [(1, "x")]).write.parquet(str(tmp_path / "documents.parquet"))
-    plan = licenses.op2_licenses(spark, str(tmp_path))._jdf.queryExecution().toString()
-    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
-    assert licenses.scan(frame(spark, [])).collect() == []
-
-
 # --- 3 -------------------------------------------------------------------------------
 
 
