@@ -10,19 +10,24 @@ offset in the window (positional filter) and the words left on either side
 (length filter), the one place where that window could stand; the place is then
 verified word by word.
 
-The window index is broadcast only where the benchmark's measured size is under
-``BROADCAST_BYTES``. Above it, the benchmark goes through in blocks of at most
-that size, each against all documents, and the hit positions are united.
+A benchmark whose measured texts are under ``BROADCAST_BYTES`` is broadcast as
+an index by rarest word. A larger one stays distributed: rarity is counted once,
+each window's rarest word and offset go into a bit filter of fixed size (2 MB),
+documents yield the windows that the filter lets through, and those meet the
+benchmark's windows by an equi-join on the whole window, which is the exact test.
+The hits return to their texts by a 128-bit key.
 
 Results in unusual cases: null or empty texts have no words (0, 0, 0, digest of
 the empty string, false); null or empty items have no window; items with equal
-texts all count; repeated item rows with one ``item_id`` count once; a null
-``item_id`` is left out; repeated documents rows stay; tables may be empty;
-only ``doc_id``/``item_id`` and ``text`` are read.
+texts all count; repeated item rows with one ``item_id`` count once; the windows
+of an item without ``item_id`` are hit, but there is no id to list or count;
+repeated documents rows stay; tables may be empty; only ``doc_id``/``item_id``
+and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -30,19 +35,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, raw_texts, table, words
+from .common import map_batches, raw_texts, settle, table, text_key, words
 
 WINDOW = 10
 BROADCAST_BYTES = 8_000_000
+#: Bits of the filter, and of one row of it.
+FILTER_BITS, ROW_BITS = 1 << 24, 1 << 15
+#: Words that a worker remembers.
+KEPT = 150_000
 
 
-def item_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
+def text_windows(text: bytes, window: int = WINDOW) -> list[tuple[bytes, ...]]:
+    ws = words(text)
+    return [tuple(ws[i : i + window]) for i in range(max(1, len(ws) - window + 1) if ws else 0)]
+
+
+def item_windows(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
     """Each distinct window with the ids of the items that have it."""
     found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item_id, text in items:
-        ws = words(text)
-        for i in range(max(1, len(ws) - window + 1) if ws else 0):
-            found[tuple(ws[i : i + window])].add(item_id)
+        for w in text_windows(text, window):
+            found[w].update([item_id] if item_id is not None else [])
     return {w: sorted(ids) for w, ids in found.items()}
 
 
@@ -68,101 +81,155 @@ def hits(ws: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[str]]
     return spans, items
 
 
-def word_rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How many documents hold each word of ``vocabulary``: bounded by it."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def word_rarity(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
+    """(word, n): how many documents hold each word (of ``vocabulary``)."""
+    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
         for text in raw_texts(batch.column("text")):
-            n.update(known.value.intersection(words(text)))
+            own = words(text)
+            n.update(set(own) if known is None else known.value.intersection(own))
         return pa.RecordBatch.from_arrays(
             [pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"]
         )
 
     partial = map_batches(docs.select("text"), count, "word binary, n long")
-    return {bytes(r.word): r.n for r in partial.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _named(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
-
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
 
-def _block_count(benchmark: DataFrame, limit: int) -> int:
-    """Blocks of about ``limit`` bytes of text: one where the benchmark is
-    small, which is measured and not assumed."""
-    total = _named(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(1, -(-total // limit))
 
-
-def _block(benchmark: DataFrame, k: int, parts: int) -> list[tuple[str, bytes]]:
-    named = _named(benchmark)
-    part = named if parts == 1 else named.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-    return [(r.item_id, r.text.encode()) for r in part.toLocalIterator()]
+def _bytes(benchmark: DataFrame) -> int:
+    return _named(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BROADCAST_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``docs`` (its rows as ``row``, without the text) with ``text``,
     ``n_words``, ``n_hit`` (words inside an occurrence of a window) and
     ``items`` (sorted ids of the items that occur)."""
-    sc = docs.sparkSession.sparkContext
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
-    span = T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
-    schema = T.StructType(
-        [
-            T.StructField("row", rows.schema["row"].dataType),
-            T.StructField("text", T.StringType()),
-            T.StructField("spans", T.ArrayType(span)),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
+    small = _bytes(benchmark) <= broadcast_bytes
+    return (_by_broadcast if small else _by_shuffle)(rows, benchmark, window)
+
+
+def _by_broadcast(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    windows = item_windows([(r.item_id, r.text.encode()) for r in _named(benchmark).toLocalIterator()], window)
+    vocabulary = {w for x in windows for w in x}
+    rarity = {bytes(r.word): r.n for r in word_rarity(rows, vocabulary).collect()} if windows else {}
+    index = rows.sparkSession.sparkContext.broadcast(prefix_index(windows, rarity))
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_words, n_hit, items = [], [], []
+        for text in raw_texts(batch.column("text")):
+            ws = words(text)
+            spans, found = hits(ws, index.value)
+            n_words.append(len(ws))
+            n_hit.append(sum(hi - lo for lo, hi in merged(spans)))
+            items.append(sorted(found))
+        out = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *out], ["row", "text", "n_words", "n_hit", "items"])
+
+    added = T._parse_datatype_string("n_words long, n_hit long, items array<string>").fields
+    return map_batches(rows, find, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), *added]))
+
+
+def filter_key(word: bytes, at: int, n: int) -> bytes:
+    return word + b" %d %d" % (at, n)
+
+
+def _by_shuffle(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    spark = rows.sparkSession
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, found = [], []
+        for item_id, text in zip(batch.column("item_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
+            for w in text_windows(text, window):
+                ids.append(item_id)
+                found.append(b" ".join(w))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary())], ["item_id", "window"])
+
+    items = settle(map_batches(_named(benchmark), cut, "item_id string, window binary").distinct())
+    parts = F.split(F.col("window").cast("string"), " ")
+    places = items.select("window").distinct().select("window", F.size(parts).alias("n"), F.posexplode(parts).alias("at", "w"))
+    rarity = word_rarity(rows)
+    prefixes = (
+        places.join(rarity.select(F.col("word").cast("string").alias("w"), F.col("n").alias("docs")), "w", "left")
+        .groupBy("window", "n")
+        .agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "w", "at")).alias("rarest"))
+        .select("window", "n", F.col("rarest.w").alias("w"), F.col("rarest.at").alias("at"))
+    )
+    prefixes = settle(prefixes)
+    bit = F.pmod(F.crc32(F.concat_ws(" ", "w", "at", "n")), F.lit(FILTER_BITS))
+    bits = prefixes.select(F.floor(bit / ROW_BITS).cast("int").alias("row"), (bit % ROW_BITS).alias("bit"))
+    bits = bits.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    passed = {r.row: bytes(r.bits) for r in bits.collect()}  # FILTER_BITS at most
+    lengths = sorted(r.n for r in prefixes.select("n").distinct().collect())  # WINDOW lengths at most
+    shared = spark.sparkContext.broadcast(passed)
+
+    def lets(word: bytes) -> tuple[tuple[int, int], ...]:
+        """The offsets and lengths of windows that the word may be rarest in."""
+        out = []
+        for n in lengths:
+            for at in range(n):
+                row, rest = divmod(zlib.crc32(filter_key(word, at, n)) % FILTER_BITS, ROW_BITS)
+                line = shared.value.get(row)
+                if line and line[rest >> 3] >> (rest & 7) & 1:
+                    out.append((at, n))
+        return tuple(out)
+
+    def candidates(batch: pa.RecordBatch, known: dict = {}) -> pa.RecordBatch:  # noqa: B006  one for each task
+        at_row, los, his, found = [], [], [], []
+        for r, text in enumerate(raw_texts(batch.column("text"))):
+            ws = words(text)
+            for p, word in enumerate(ws):
+                places = known.get(word)
+                if places is None:
+                    places = lets(word)
+                    if len(known) < KEPT:
+                        known[word] = places
+                for at, n in places:
+                    if p >= at and p - at + n <= len(ws):
+                        at_row.append(r)
+                        los.append(p - at)
+                        his.append(p - at + n)
+                        found.append(b" ".join(ws[p - at : p - at + n]))
+        keys = pa.array(at_row, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("k1").take(keys), batch.column("k2").take(keys), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(found, pa.binary())],
+            ["k1", "k2", "lo", "hi", "window"],
+        )
+
+    k1, k2 = text_key(F.col("text"))
+    keyed = rows.select("row", "text", k1.alias("k1"), k2.alias("k2"))
+    met = map_batches(keyed.select("k1", "k2", "text"), candidates, "k1 long, k2 long, lo long, hi long, window binary")
+    # Every window of an item is in items; a hit text's spans and ids are no more than it and the items that it holds.
+    met = settle(met.join(items.select("window").distinct(), "window", "left_semi"))
+    spans = met.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    ids = met.select("k1", "k2", "window").distinct().join(items.where("item_id IS NOT NULL"), "window")
+    ids = ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    n_hit = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        lambda a, x: F.struct(
+            (a["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(a["end"], x["lo"]))).alias("n"), F.greatest(a["end"], x["hi"]).alias("end")
+        ),
+        lambda a: a["n"],
     )
-    result = T.StructType(
-        [
-            schema["row"],
-            schema["text"],
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            schema["items"],
-        ]
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
+    joined = keyed.join(spans, ["k1", "k2"], "left").join(ids, ["k1", "k2"], "left")
+    return joined.select(
+        "row",
+        "text",
+        n_words.cast("long").alias("n_words"),
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    parts = _block_count(benchmark, block_bytes)
-    for k in range(parts):
-        windows = item_windows(_block(benchmark, k, parts), window)
-        vocabulary = {w for x in windows for w in x}
-        rarity = word_rarity(docs, vocabulary) if windows else {}
-        index = sc.broadcast(prefix_index(windows, rarity))
-
-        def find(batch: pa.RecordBatch, index=index, first=k == 0, last=k == parts - 1) -> pa.RecordBatch:
-            known = index.value
-            n_words, spans_out, items_out = [], [], []
-            before = [None] * batch.num_rows if first else list(
-                zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            )
-            for text, old in zip(raw_texts(batch.column("text")), before, strict=True):
-                ws = words(text)
-                spans, found = hits(ws, known)
-                if old:
-                    spans += [(x["lo"], x["hi"]) for x in old[0]]
-                    found.update(old[1])
-                n_words.append(len(ws))
-                spans_out.append(merged(spans))
-                items_out.append(sorted(found))
-            items = pa.array(items_out, pa.list_(pa.string()))
-            if last:
-                n_hit = [sum(hi - lo for lo, hi in x) for x in spans_out]
-                return pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items],
-                    ["row", "text", "n_words", "n_hit", "items"],
-                )
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            pairs = pa.array([[{"lo": lo, "hi": hi} for lo, hi in x] for x in spans_out], kind)
-            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pairs, items], ["row", "text", "spans", "items"])
-
-        rows = map_batches(rows, find, result if k == parts - 1 else schema)
-    return rows
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -195,7 +262,7 @@ WITH doc_words AS (
 item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
-  WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  WHERE text IS NOT NULL),
 item_at AS (
   SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item_words WHERE len(w) > 0),
 windows AS (
@@ -212,7 +279,7 @@ hit AS (
   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM places) x GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM found) x GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) x GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit,
        coalesce(items.n_items, 0) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
        coalesce(hit.n_hit, 0) > 0 AS contaminated

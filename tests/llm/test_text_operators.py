@@ -172,27 +172,27 @@ def plain_hits(text, items, window=10):
     hit, found = set(), set()
     for item_id, t in items:
         iw = words((t or "").encode())
-        if not iw or item_id is None:
+        if not iw:
             continue
         for i in range(max(1, len(iw) - window + 1)):
             w = iw[i : i + window]
             for p in range(len(ws) - len(w) + 1):
                 if ws[p : p + len(w)] == w:
                     hit.update(range(p, p + len(w)))
-                    found.add(str(item_id))
+                    found.update([str(item_id)] if item_id is not None else [])
     return len(ws), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [10**6, 60])
-def test_decontamination_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [10**6, 60])
+def test_decontamination_brute_force(spark, broadcast_bytes):
     rng = random.Random(2)
     vocabulary = "a b c d e f".split()
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 14)))) for k in range(12)]
-    items += [(50, "Tiny Item"), (51, "tiny item"), (52, None), (None, "a b"), (53, ""), (50, "Tiny Item")]
+    items += [(50, "Tiny Item"), (51, "tiny item"), (52, None), (None, "a b"), (None, "only here"), (53, ""), (50, "Tiny Item")]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80)))) for i in range(50)]
-    rows += [(60 + k, f"x, {t} y. {t}") for k, (_, t) in enumerate(items) if t] + ODD + [(90, "a TINY, item!")]
+    rows += [(60 + k, f"x, {t} y. {t}") for k, (_, t) in enumerate(items) if t] + ODD + [(90, "a TINY, item!"), (91, "only here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(frame(spark, rows, True), bench, block_bytes=block_bytes)
+    got = decontamination.decontaminate(frame(spark, rows, True), bench, broadcast_bytes=broadcast_bytes)
     got = sorted(repr((r.row.doc_id, r.n_words, r.n_hit, sorted(r["items"]))) for r in got.collect())
     assert got == sorted(repr((i, *plain_hits(t, items))) for i, t in rows)
 
@@ -201,6 +201,18 @@ def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontamination.decontaminate(frame(spark, [(1, "a b")]), none).collect()] == [0]
     assert decontamination.decontaminate(frame(spark, []), none).collect() == []
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontamination.decontaminate(frame(spark, []), some, broadcast_bytes=1).collect() == []
+    assert [r.n_hit for r in decontamination.decontaminate(frame(spark, [(1, "a b")]), none, broadcast_bytes=-1).collect()] == [0]
+
+
+def test_both_ways_agree(spark):
+    """A benchmark over the broadcast bound gives the same rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    shape = lambda df: sorted((r.row.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.collect())
+    one = shape(decontamination.decontaminate(docs, bench))
+    assert one == shape(decontamination.decontaminate(docs, bench, broadcast_bytes=1)) and any(n for _, _, n, _ in one)
 
 
 # --- 5 -------------------------------------------------------------------------------
