@@ -6,12 +6,14 @@ that the training labels mark most clearly (chi-square) enter a logistic
 regression. For every training text that mentions an identity group, the same
 text with the terms swapped (for other groups' and for a neutral word) gives a
 difference of features d; the fit penalises ``FAIRNESS`` * (w . d)^2, so that a
-group's mention moves no score.
+group's mention moves no score. The unit is the labelled text, not the sentence:
+labels mark whole texts, and a word's presence in one sentence changes a text's
+features only where no other sentence has it.
 
 Bounds: the fit takes at most ``FIT_ROWS`` labelled texts, those with the
 smallest hash of their id (a documented sample; only rows whose crc32(doc_id)
-mod 3 is not 1). Their hashed features, and nothing else of the corpus, reach
-the driver. The fitted model has at most ``SELECTED`` features. Scoring is one
+mod 3 is not 1). Their hashed features and the distinct differences d with their
+numbers, and nothing else of the corpus, reach the driver. The fitted model has at most ``SELECTED`` features. Scoring is one
 narrow pass over all rows. labels, lang, source and doc_id are never inputs.
 
 Results in unusual cases: null and empty texts score the base value; null
@@ -24,6 +26,7 @@ result; a null ``doc_id`` is never held out.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,53 +108,70 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def collect_features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, list[list[np.ndarray]]]:
-    """Hashed features, label and swapped versions' features of each row. They
-    come as Arrow columns: four bytes for a feature, no object for any."""
+def swaps(ws: set[bytes]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """For each version of a text with one identity term swapped, the features
+    that go and those that come."""
+    out = []
+    for term in sorted(ws & SWAPS.keys()):
+        rest = ws - {term}
+        # Few words share a feature with the term: its word beginnings.
+        beginning = term.decode()[: min(PREFIXES)]
+        like = features({w for w in rest if w.decode("utf-8", "replace").startswith(beginning)})
+        for other in SWAPS[term]:
+            near = other.decode()[: min(PREFIXES)]
+            there = features({w for w in rest if w.decode("utf-8", "replace").startswith(near)})
+            old, new = set(word_features(term)), set(word_features(other))
+            gone, come = old - like - new, new - there - old
+            if gone or come:
+                out.append((tuple(sorted(gone)), tuple(sorted(come))))
+    return out
+
+
+def collect_features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, Counter]:
+    """Hashed features and label of each row, and how often each change of
+    features comes from swapping an identity term. Features come as Arrow
+    columns, four bytes each; changes are counted on the executors, so that the
+    driver gets each distinct one once, however many texts and terms there are."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, swapped = [], []
+        own, changes = [], Counter()
         for text in raw_texts(batch.column("text")):
             ws = set(words(text))
             own.append(sorted(features(ws)))
-            versions = []
-            for term in sorted(ws & SWAPS.keys()):
-                for other in SWAPS[term]:
-                    versions.append(sorted(features((ws - {term}) | {other})))
-            swapped.append(versions)
+            changes.update(swaps(ws))
+        listed = [[[list(gone), list(come), [n]] for (gone, come), n in sorted(changes.items())]]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("toxic"),
                 pa.array(own, pa.list_(pa.int32())),
-                pa.array(swapped, pa.list_(pa.list_(pa.int32()))),
+                pa.array(listed + [None] * (batch.num_rows - 1), pa.list_(pa.list_(pa.list_(pa.int32())))),
             ],
-            ["doc_id", "toxic", "own", "swapped"],
+            ["doc_id", "toxic", "own", "changes"],
         )
 
     found = map_batches(
         rows.select("doc_id", "text", "toxic"),
         run,
-        "doc_id bigint, toxic int, own array<int>, swapped array<array<int>>",
+        "doc_id bigint, toxic int, own array<int>, changes array<array<array<int>>>",
     ).toArrow()
-    own, swapped, y, ids = [], [], [], []
+    own, y, ids = [], [], []
+    changes: Counter = Counter()
     for batch in found.to_batches():
         column = batch.column("own")
         values, ends = column.values.to_numpy(), column.offsets.to_numpy()
         own += [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        swapped += [[np.array(v, dtype=np.int32) for v in x] for x in batch.column("swapped").to_pylist()]
+        for listed in batch.column("changes").drop_null().to_pylist():
+            for gone, come, (n,) in listed:
+                changes[tuple(gone), tuple(come)] += n
         y += batch.column("toxic").to_pylist()
         ids += batch.column("doc_id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], len(own[i]), own[i].tobytes()))
-    return (
-        [own[i] for i in order],
-        np.array([1.0 if y[i] else 0.0 for i in order]),
-        [swapped[i] for i in order],
-    )
+    return [own[i] for i in order], np.array([1.0 if y[i] else 0.0 for i in order]), changes
 
 
-def fit(own: list[np.ndarray], y: np.ndarray, swapped: list[list[np.ndarray]]) -> Model:
-    """``own``: sorted feature hashes of each row."""
+def fit(own: list[np.ndarray], y: np.ndarray, changes: Counter, fairness: float = FAIRNESS) -> Model:
+    """``own``: sorted feature hashes of each row; ``changes``: see ``collect_features``."""
     n, pos = len(y), float(y.sum()) if len(y) else 0.0
     if not 0 < pos < n:
         rate = (pos + 0.5) / (n + 1.0)
@@ -178,8 +198,12 @@ def fit(own: list[np.ndarray], y: np.ndarray, swapped: list[list[np.ndarray]]) -
     x = np.zeros((n, k + 1), dtype=np.float32)
     for i, features in enumerate(own):
         x[i] = row(features)
-    gaps = [row(v) - x[i] for i, versions in enumerate(swapped) for v in versions]
-    gaps = [g for g in gaps if g.any()]
+    place = {int(f): j for j, f in enumerate(chosen)}
+    gaps: Counter = Counter()
+    for (gone, come), count in changes.items():
+        gap = tuple((place[f], -1.0) for f in gone if f in place) + tuple((place[f], 1.0) for f in come if f in place)
+        if gap:
+            gaps[gap] += count
     ridge = np.full(k + 1, RIDGE)
     ridge[-1] = 1e-3
     # Both kinds weigh the same half of n, softened towards the base rate.
@@ -187,9 +211,9 @@ def fit(own: list[np.ndarray], y: np.ndarray, swapped: list[list[np.ndarray]]) -
     w = np.zeros(k + 1)
     w[-1] = np.log(pos / (n - pos))
     penalty = np.diag(ridge)
-    if gaps:
-        g = np.array(gaps, dtype=np.float64)
-        penalty = penalty + FAIRNESS * (g.T @ g)
+    for gap, count in sorted(gaps.items()):  # the sum of the changes' squares, a few entries each
+        at, sign = np.array([j for j, _ in gap]), np.array([v for _, v in gap])
+        penalty[np.ix_(at, at)] += fairness * count * np.outer(sign, sign)
     for _ in range(30):  # Newton steps
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
         grad = x.T @ (weight * (p - y)) + penalty @ w
@@ -202,8 +226,8 @@ def fit(own: list[np.ndarray], y: np.ndarray, swapped: list[list[np.ndarray]]) -
     return Model(float(w[-1]), {int(f): float(w[j]) for j, f in enumerate(chosen)})
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
-    return fit(*collect_features(training_rows(docs, labels, limit)))
+def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, fairness: float = FAIRNESS) -> Model:
+    return fit(*collect_features(training_rows(docs, labels, limit)), fairness)
 
 
 class _Scorer:

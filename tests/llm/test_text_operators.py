@@ -140,14 +140,58 @@ def test_group_mentions_move_no_score(spark):
     docs, labels = labelled(spark)
     truth = dict(labels)
     df = spark.createDataFrame([(i, t, truth[i]) for i, t in docs], "doc_id long, text string, toxic int")
-    own, y, swapped = toxicity.collect_features(df)
-    fair = toxicity._Scorer(toxicity.fit(own, y, swapped))
-    plain = toxicity._Scorer(toxicity.fit(own, y, [[] for _ in own]))
+    own, y, changes = toxicity.collect_features(df)
+    fair = toxicity._Scorer(toxicity.fit(own, y, changes))
+    plain = toxicity._Scorer(toxicity.fit(own, y, Counter()))
     text = "word1 word2 word3 {}"
     shift = lambda s: max(abs(s(text.format(g).encode()) - s(text.format("people").encode())) for g in ("muslims", "christians", "jews"))
     assert shift(fair) < 0.02 and shift(fair) < shift(plain) / 3
 
 
+def mentions(rng, n):
+    """Texts, toxic ones mostly with a group and calm ones mostly without; a
+    calm group text as often as one toxic text in nine."""
+    calm, rude = [f"word{k}" for k in range(200)], ["vileness", "vilely", "vilexq"]
+    out = []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        ws = [rng.choice(calm) for _ in range(rng.randint(5, 40))]
+        ws += [rng.choice(rude)] if bad and rng.random() < 0.6 else []
+        ws += [rng.choice(["muslims", "christians", "jews"])] if rng.random() < (0.9 if bad else 0.1) else []
+        rng.shuffle(ws)
+        out.append((i, " ".join(ws), int(bad)))
+    return out
+
+
+def test_fewer_false_positives_on_neutral_mentions(spark):
+    rng = random.Random(31)
+    df = spark.createDataFrame(mentions(rng, 1500), "doc_id long, text string, toxic int")
+    found = toxicity.collect_features(df)
+    neutral = [f"{' '.join(f'word{rng.randrange(200)}' for _ in range(20))} {g}" for g in ("muslims", "christians", "jews") for _ in range(100)]
+    rude = [f"{t} vilely" for t in neutral]
+    rate = {}
+    for fairness in (0.0, toxicity.FAIRNESS):
+        scorer = toxicity._Scorer(toxicity.fit(*found, fairness))
+        rate[fairness] = [sum(scorer(t.encode()) >= toxicity.THRESHOLD for t in texts) / 300 for texts in (neutral, rude)]
+    print(rate)
+    assert rate[0.0][0] > 0.5  # without the penalty a mention is enough
+    assert rate[toxicity.FAIRNESS][0] < 0.05 and rate[toxicity.FAIRNESS][1] > 0.95
+
+
+def test_swaps_brute_force():
+    rng = random.Random(5)
+    terms = [t.decode() for t in toxicity.SWAPS]
+    for _ in range(300):
+        ws = {w.encode() for w in [rng.choice(terms) for _ in range(rng.randint(0, 4))] + ["people", "muslimsx", "blacksmith", "womenfolk", "x"][: rng.randint(0, 5)]}
+        own, expected = toxicity.features(ws), []
+        for term in sorted(ws & toxicity.SWAPS.keys()):
+            for other in toxicity.SWAPS[term]:
+                new = toxicity.features((ws - {term}) | {other})
+                if new != own:
+                    expected.append((tuple(sorted(own - new)), tuple(sorted(new - own))))
+        assert toxicity.swaps(ws) == expected
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(4, 0), (5, 0)]])
 def test_toxicity_without_two_kinds(spark, labels):
     df = spark.createDataFrame(labels, "doc_id long, toxic int")
