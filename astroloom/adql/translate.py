@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from ..errors import AdqlSyntaxError, UnknownColumnError, UnknownTableError, UnsupportedAdqlError
@@ -222,6 +223,7 @@ class Source:
     columns: list[str] | None
     table: TableMeta | None = None
     node: t.Node | None = None
+    view: str = ""
 
     @property
     def keys(self) -> set[str]:
@@ -243,14 +245,54 @@ def close(name: str, known: list[str]) -> list[str]:
     return difflib.get_close_matches(name.lower(), known, n=3)
 
 
+INNER, OUTER = (",", "INNER", "CROSS"), ("LEFT", "RIGHT", "FULL")
+
+
+@dataclass(frozen=True)
+class Match:
+    """A join test: ``one``'s position in ``other``'s circle or region, or two regions."""
+
+    one: Source
+    other: Source
+    position: tuple[str, ...]
+    centre: tuple[str, ...]
+    radius: float | None = None
+    radius_column: str = ""
+    regions: tuple[str, ...] = ()
+    nodes: tuple[t.Node, ...] = ()
+
+    def turned(self) -> Match:
+        return Match(self.other, self.one, self.centre, self.position, self.radius)
+
+
+def _joins(node: t.Node) -> list[t.Join]:
+    """The joins of a FROM clause, inner ones of the tree first."""
+    return [*_joins(node.left), *_joins(node.right), node] if isinstance(node, t.Join) else []
+
+
+def _tables(node: t.Node) -> list[t.Node]:
+    return [*_tables(node.left), *_tables(node.right)] if isinstance(node, t.Join) else [node]
+
+
+def _parted(n: t.Join, m: Match) -> bool:
+    """Whether a join brings a match's two tables together."""
+    left, right = ({id(x) for x in _tables(side)} for side in (n.left, n.right))
+    one, other = id(m.one.node), id(m.other.node)
+    return one in left and other in right or one in right and other in left
+
+
 class _Renderer:
     def __init__(self, registry) -> None:
         self.registry = registry
         self.pruned: dict[str, tuple[TableMeta, list[str]]] = {}
         self.hint: ConeHint | None = None
-        self.bound: dict[int, str] = {}
+        #: Scopes whose tables have helper columns.
+        self.bound: set[int] = set()
         #: Region operands that a join has parsed already.
         self.parsed: dict[int, str] = {}
+        #: Rendered entries of FROM clauses, and tests that a join or a WHERE clause gets beside its own.
+        self.rendered: dict[int, str] = {}
+        self.extra: dict[int, list[str]] = {}
 
     # -- queries ---------------------------------------------------------------
     def query(self, q: t.Node, outer: Scope | None, ctes: dict[str, list[str] | None]) -> tuple[str, list[str] | None]:
@@ -292,9 +334,8 @@ class _Renderer:
         if q.source is not None:
             cone = self.prunable(q)
             from_sql = " FROM " + self.source(q.source, scope, ctes, cone)
-            match = self.cell_join(q, scope)
-            if match:
-                from_sql = " FROM " + match
+            if isinstance(q.source, t.Join) and (joined := self.sky_join(q, scope)):
+                from_sql = " FROM " + joined
         items, columns = [], []
         for item in q.items:
             if isinstance(item.value, t.Star):
@@ -309,10 +350,10 @@ class _Renderer:
             items.append(text)
             if columns is not None:
                 columns.append(name or text)
-        hint = self.bound.get(id(scope), "")
-        sql = f"SELECT {hint}" + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
-        if q.where is not None:
-            sql += " WHERE " + self.expr(q.where, scope)
+        sql = "SELECT " + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
+        tests = ([self.expr(q.where, scope)] if q.where is not None else []) + self.extra.get(id(scope), [])
+        if tests:
+            sql += " WHERE " + " AND ".join(tests)
         scope.aliases = {i.alias.lower() for i in q.items if i.alias}
         if q.groups is not None:
             sets = [", ".join(self.expr(x, scope) for x in s) for s in q.groups.sets]
@@ -343,24 +384,18 @@ class _Renderer:
             sql, columns = self.query(node.query, inner.outer, ctes)
             alias = node.alias or f"q{len(scope.sources)}"
             scope.sources.append(Source(alias, columns, None, node))
-            return f"({sql}) AS {quoted(alias)}"
+            self.rendered[id(node)] = f"({sql}) AS {quoted(alias)}"
+            return self.rendered[id(node)]
         if isinstance(node, t.Join):
-            left = self.source(node.left, scope, ctes, cone)
-            right = self.source(node.right, scope, ctes, cone)
-            if node.kind == ",":
-                return f"{left}, {right}"
-            natural = "NATURAL " if node.natural else ""
-            sql = f"{left} {natural}{node.kind} JOIN {right}"
-            if node.on is not None:
-                sql += " ON " + self.expr(node.on, scope)
-            elif node.using:
-                sql += " USING (" + ", ".join(map(quoted, node.using)) + ")"
-            return f"({sql})" if isinstance(node.right, t.Join) else sql
+            self.source(node.left, scope, ctes, cone)
+            self.source(node.right, scope, ctes, cone)
+            return self.tree(node, scope)
         name = ".".join(node.parts)
         if len(node.parts) == 1 and name.lower() in ctes:
             alias = node.alias or name
             scope.sources.append(Source(alias, ctes[name.lower()], None, node))
-            return f"{quoted(name)} AS {quoted(alias)}"
+            self.rendered[id(node)] = f"{quoted(name)} AS {quoted(alias)}"
+            return self.rendered[id(node)]
         table = self.registry.find(name) if len(node.parts) <= 2 else None
         if table is None:
             raise UnknownTableError(name, close(name, self.registry.names()))
@@ -373,7 +408,25 @@ class _Renderer:
                 view = f"{table.view}__pruned_{len(self.pruned)}"
                 self.pruned[view] = (table, [s.path for s in kept])
                 view = quoted(view)
-        return f"{view} AS {quoted(alias)}"
+        scope.sources[-1].view = view
+        self.rendered[id(node)] = f"{view} AS {quoted(alias)}"
+        return self.rendered[id(node)]
+
+    def tree(self, node: t.Node, scope: Scope) -> str:
+        """A FROM clause whose entries are rendered."""
+        if not isinstance(node, t.Join):
+            return self.rendered[id(node)]
+        left, right = self.tree(node.left, scope), self.tree(node.right, scope)
+        right = f"({right})" if isinstance(node.right, t.Join) else right
+        if node.kind == ",":
+            return f"{left}, {right}"
+        natural = "NATURAL " if node.natural else ""
+        sql = f"{left} {natural}{node.kind} JOIN {right}"
+        if node.on is not None:
+            sql += " ON " + " AND ".join([self.expr(node.on, scope), *self.extra.get(id(node), [])])
+        elif node.using:
+            sql += " USING (" + ", ".join(map(quoted, node.using)) + ")"
+        return sql
 
     @staticmethod
     def prunable(q: t.Select) -> tuple[t.Call, ConeHint] | None:
@@ -400,106 +453,175 @@ class _Renderer:
             for p, w in zip(point, wanted, strict=True)
         )
 
-    def cell_join(self, q: t.Select, scope: Scope) -> str | None:
-        """Two registered tables joined by a cone of constant radius around
-        one's positions: both get the sky cells they touch as an equi-key."""
-        j = q.source
-        if not (isinstance(j, t.Join) and j.kind in (",", "INNER", "CROSS") and not j.natural and not j.using):
-            return None
-        if len(scope.sources) != 2 or any(s.table is None for s in scope.sources):
+    # -- joins by distance or region -----------------------------------------------
+    def sky_join(self, q: t.Select, scope: Scope) -> str | None:
+        """The FROM clause with sky cells as equi-keys of its joins by distance
+        or region, or None where it has none that cells help."""
+        nodes = [n for n in _joins(q.source)]
+        if any(n.natural or n.using for n in nodes) and any(isinstance(i.value, t.Star) for i in q.items):
+            return None  # merged columns that helper columns would show beside
+        if any(isinstance(i.value, t.Star) for i in q.items) and any(s.columns is None for s in scope.sources):
             return None
-        for c in conjuncts(q.where) + conjuncts(j.on):
-            if (joined := self.region_join(c, scope, j)) is not None:
-                return joined
-            found = self.pair_cone(c, scope)
-            if not found:
+        inner = all(n.kind in INNER and not n.natural for n in nodes)
+        found: list[tuple[t.Join, Match, bool]] = []  # where, what, whether WHERE has it
+        for c in conjuncts(q.where) if inner else []:
+            if m := self.match(c, scope):
+                found.append((next(n for n in nodes if _parted(n, m)), m, True))
+        for n in nodes:
+            for c in conjuncts(n.on):
+                if (m := self.match(c, scope)) and _parted(n, m):
+                    found.append((n, m, False))
+        if len(nodes) == 1 and nodes[0].kind in OUTER:
+            for n, m, _ in found:
+                if not (m.radius is not None and n.kind in ("LEFT", "RIGHT")):
+                    return self.outer(n, m, scope)
+        helpers: dict[int, list[tuple[str, str]]] = defaultdict(list)  # table -> (kind, SQL of a column or a table)
+        copied: set[int] = set()
+        done: set[frozenset[int]] = set()
+        for n, m, from_where in found:
+            pair = frozenset(map(id, (m.one, m.other)))
+            if pair in done or n.natural or n.using:
                 continue
-            (point, a), (centre, b), radius = found
-            if not 0 < radius <= cells.MAX_RADIUS:
+            if m.radius is not None and (n.kind in ("LEFT", "RIGHT") or id(m.other) in copied):
+                # A circle and a point of the same distance may change places: the copied side may be missing.
+                missing = {id(x) for x in _tables(n.right if n.kind == "LEFT" else n.left)}
+                if n.kind in ("LEFT", "RIGHT") and id(m.other.node) not in missing or n.kind in INNER:
+                    m = m.turned()
+            if n.kind in OUTER and (m.radius is None or n.kind == "FULL"):
+                continue  # only two tables can be joined so (see outer)
+            if id(m.other) in copied or m.one.view == "" or m.other.view == "":
                 continue
-            self.bound[id(scope)] = ""
-            one = cells.point_side(quoted(a.table.view), *point, radius)
-            many = cells.circle_side(quoted(b.table.view), *centre, radius)
-            on = [f"{quoted(a.alias)}.{quoted(cells.CELL)} = {quoted(b.alias)}.{quoted(cells.CELL)}"]
-            if j.on is not None:
-                on.append(self.expr(j.on, scope))
-            return (
-                f"({one}) AS {quoted(a.alias)} INNER JOIN ({many}) AS {quoted(b.alias)} ON " + " AND ".join(on)
-            )
-        return None
+            k = len(done)
+            done.add(pair)
+            copied.add(id(m.other))
+            on = self.keyed(m, k, helpers, quoted(m.one.alias), quoted(m.other.alias))
+            if m.regions:
+                copied.add(id(m.one))
+            self.extra.setdefault(id(scope) if from_where else id(n), []).extend(on)
+            if not from_where and n.on is None:
+                self.extra.setdefault(id(scope), []).extend(on)
+        if not done:
+            return None
+        self.bound.add(id(scope))
+        for s in scope.sources:
+            if id(s) in helpers:
+                self.rendered[id(s.node)] = f"({self.helped(s.view, helpers[id(s)])}) AS {quoted(s.alias)}"
+        return self.tree(q.source, scope)
 
-    def region_join(self, c: t.Node, scope: Scope, j: t.Join) -> str | None:
-        """A position in another table's region, or two tables' regions."""
+    @staticmethod
+    def helped(source: str, helpers: list[tuple[str, str]]) -> str:
+        """SQL of a table with helper columns: parsed regions, then cells, then copies."""
+        sql = source
+        for kind in ("parsed", "plain", "copies"):
+            for _, text in (h for h in helpers if h[0] == kind):
+                sql = text.replace("{source}", sql) if kind == "parsed" else f"SELECT *, {text} FROM {sql}"
+                sql = f"({sql})"
+        return sql.removeprefix("(").removesuffix(")") if sql != source else f"SELECT * FROM {source}"
+
+    def keyed(self, m: Match, k: int, helpers: dict, one: str, other: str, rows: tuple[str, str] = ("", "")) -> list[str]:
+        """Puts the helper columns of a match into ``helpers``; the tests that
+        join them. ``rows``: struct columns that hold the tables' own columns."""
+        cell = f"{cells.CELL}_{k}"
+        first, second = helpers[id(m.one)], helpers[id(m.other)]
+        equal = f"{one}.{cell} = {other}.{cell}"
+        at = [f"{rows[0]}{c}" for c in m.position]
+        around = [f"{rows[1]}{c}" for c in m.centre]
+        if m.radius is not None:
+            first.append(("plain", f"{cells.point_cell(*at, m.radius)} AS {cell}"))
+            second.append(("copies", f"explode_outer({cells.circle_cells(*around, m.radius)}) AS {cell}"))
+            return [equal]
+        levels = f"{cells.LEVELS}_{k}"
+        if m.radius_column:
+            first.append(("plain", f"{cells.levels_of_circles(m.other.view, m.radius_column)} AS {levels}"))
+            first.append(("copies", f"explode_outer({cells.point_keys(*at, levels)}) AS {cell}"))
+            second.append(("copies", f"explode_outer({cells.circle_keys(*around, f'{rows[1]}{m.radius_column}')}) AS {cell}"))
+            return [equal]
+        sky = f"__sky_{k}"
+        second.append(("parsed", cells.parsed_once("{source}", f"{rows[1]}{m.regions[-1]}", f"{sky}_b")))
+        second.append(("plain", f"{sky}_b.g AS {cells.REGION}_{k}_b"))
+        self.parsed[id(m.nodes[-1])] = f"{other}.{cells.REGION}_{k}_b"
+        if len(m.regions) == 1:
+            first.append(("plain", f"{cells.levels_of_regions(m.other.view, m.regions[0])} AS {levels}"))
+            first.append(("copies", f"explode_outer({cells.point_keys(*at, levels)}) AS {cell}"))
+            second.append(("copies", f"explode_outer({cells.region_keys(f'{sky}_b')}) AS {cell}"))
+            return [equal]
+        first.append(("parsed", cells.parsed_once("{source}", f"{rows[0]}{m.regions[0]}", f"{sky}_a")))
+        first.append(("plain", f"{sky}_a.g AS {cells.REGION}_{k}_a"))
+        self.parsed[id(m.nodes[0])] = f"{one}.{cells.REGION}_{k}_a"
+        tests = []
+        for side, s, there in ((first, f"{sky}_a", (m.other, m.regions[1])), (second, f"{sky}_b", (m.one, m.regions[0]))):
+            tag = s[-1]
+            side.append(("plain", f"{cells.levels_of_regions(there[0].view, there[1])} AS {levels}_{tag}"))
+            side.append(("plain", f"{s}.c AS {cells.CAP}_{k}_{tag}"))
+            side.append(("plain", f"{cells.region_cells(s, f'{levels}_{tag}')} AS {cells.CELLS}_{k}_{tag}"))
+            side.append(("copies", f"explode_outer({cells.dealt_cells(f'{cells.CELLS}_{k}_{tag}', s)}) AS {cell}"))
+        caps = f"{one}.{cells.CAP}_{k}_a", f"{other}.{cells.CAP}_{k}_b"
+        apart = sphere.hav(f"{caps[0]}.ra", f"{caps[0]}.dec", f"{caps[1]}.ra", f"{caps[1]}.dec")
+        tests = [f"{one}.{cell}.key = {other}.{cell}.key", f"{apart} <= {caps[0]}.radius + {caps[1]}.radius"]
+        tests.append(cells.first_meeting(f"{one}.{cell}", f"{other}.{cell}", f"{one}.{cells.CELLS}_{k}_a", f"{other}.{cells.CELLS}_{k}_b"))
+        return tests
+
+    def outer(self, n: t.Join, m: Match, scope: Scope) -> str | None:
+        """Two tables in an outer join both of whose rows may have copies."""
+        left, right = scope.sources
+        if not left.view or not right.view or n.on is None or n.natural:
+            return None
+        self.bound.add(id(scope))
+        helpers: dict[int, list[tuple[str, str]]] = defaultdict(list)
+        names = {id(left): quoted(left.alias), id(right): quoted(right.alias)}
+        sides = {id(left): "__l", id(right): "__r"}
+        rows = (f"{names[id(m.one)]}.", f"{names[id(m.other)]}.")
+        on = self.keyed(m, 0, helpers, sides[id(m.one)], sides[id(m.other)], rows)
+        both = [self.helped(cells.numbered(s.view, names[id(s)]), helpers[id(s)]) for s in (left, right)]
+        tests = " AND ".join([*on, self.expr(n.on, scope)])
+        return f"({cells.whole_outer(*both, names[id(left)], names[id(right)], n.kind, tests)}) AS __pairs"
+
+    def match(self, c: t.Node, scope: Scope) -> Match | None:
+        """What a conjunct says of two tables' positions, circles or regions."""
         truth = truth_of(c)
         call, holds = truth if truth else (c, True)
-        if not holds or not isinstance(call, t.Call) or call.name not in PREDICATES:
-            return None
-        kinds = [geometry_kind(a) for a in call.args]
-        if not all(isinstance(a, t.Column) for a, k in zip(call.args, kinds, strict=True) if k == "region"):
+        if isinstance(call, t.Call) and call.name in PREDICATES and holds:
+            kinds = [geometry_kind(a) for a in call.args]
+            if kinds == ["point", "circle"]:
+                return self.circles(call.args[0].args[1:], call.args[1].args[1:3], call.args[1].args[3], scope)
+            if kinds in (["point", "region"], ["region", "region"]):
+                return self.regions(call, kinds, scope)
             return None
-        sides, owners = [], []
-        for a, kind in zip(call.args, kinds, strict=True):
-            columns = [a] if kind == "region" else a.args[1:] if kind == "point" else []
-            if not columns or not all(isinstance(x, t.Column) for x in columns):
-                return None
-            own = {id(o): o for x in columns if (o := self.owner(x, scope))}
-            if len(own) != 1:
-                return None
-            owner = next(iter(own.values()))
-            view, names = quoted(owner.table.view), [quoted(x.parts[-1]) for x in columns]
-            sides.append(
-                cells.region_side(view, *names) if kind == "region" else cells.region_point_side(view, *names)
-            )
-            owners.append(owner)
-            if kind == "region":
-                self.parsed[id(a)] = f"{quoted(owner.alias)}.{quoted(cells.REGION)}"
-        if owners[0] is owners[1]:
-            for a in call.args:
-                self.parsed.pop(id(a), None)
+        if isinstance(c, t.Binary) and c.op in ("<", "<=", ">", ">="):
+            near, far = (c.left, c.right) if c.op[0] == "<" else (c.right, c.left)
+            if isinstance(near, t.Call) and near.name == "DISTANCE":
+                return self.circles(near.args[0].args[1:], near.args[1].args[1:], far, scope)
+        return None
+
+    def circles(self, point: list, centre: list, radius: t.Node, scope: Scope) -> Match | None:
+        owners = [self.one_owner(x, scope) for x in (point, centre)]
+        if None in owners or owners[0] is owners[1]:
             return None
-        # Costly tests on few bytes: shuffled by cell, never left to the few
-        # tasks that a small table's scan would have.
-        self.bound[id(scope)] = f"/*+ MERGE({quoted(owners[0].alias)}) */ "
-        one, two = (quoted(o.alias) for o in owners)
-        on = [f"{one}.{quoted(cells.CELL)} = {two}.{quoted(cells.CELL)}"]
-        if kinds == ["region", "region"]:  # a pair counts in the first cell both touch
-            on.append(
-                f"{one}.{quoted(cells.CELL)} = array_min(array_intersect({one}.{quoted(cells.CELLS)}, {two}.{quoted(cells.CELLS)}))"
-            )
-            caps = [f"{x}.{quoted(cells.CAP)}" for x in (one, two)]
-            apart = sphere.hav(f"{caps[0]}.ra", f"{caps[0]}.dec", f"{caps[1]}.ra", f"{caps[1]}.dec")
-            on.insert(1, f"{apart} <= {caps[0]}.radius + {caps[1]}.radius")
-        if j.on is not None:
-            on.append(self.expr(j.on, scope))
-        return f"({sides[0]}) AS {one} INNER JOIN ({sides[1]}) AS {two} ON " + " AND ".join(on)
-
-    def pair_cone(self, c: t.Node, scope: Scope):
-        """(point columns, its source), (centre columns, its source), radius."""
-        truth = truth_of(c)
-        call, holds = truth if truth else (c, True)
-        if isinstance(call, t.Call) and call.name == "CONTAINS" and holds:
-            if geometry_kind(call.args[1]) != "circle":
-                return None
-            first, second = call.args[0].args[1:], call.args[1].args[1:3]
-            radius = literal_number(call.args[1].args[3])
-        elif isinstance(c, t.Binary) and c.op in ("<", "<=") and isinstance(c.left, t.Call) and c.left.name == "DISTANCE":
-            first, second = c.left.args[0].args[1:], c.left.args[1].args[1:]
-            radius = literal_number(c.right)
-        else:
+        names = [tuple(quoted(x.parts[-1]) for x in xs) for xs in (point, centre)]
+        if (value := literal_number(radius)) is not None:
+            return Match(*owners, names[0], names[1], value) if 0 < value <= 180 else None
+        owner = self.one_owner([radius], scope)
+        if owner is owners[0]:
+            owners, names = owners[::-1], names[::-1]
+        elif owner is not owners[1]:
             return None
-        if radius is None:
+        return Match(*owners, names[0], names[1], None, quoted(radius.parts[-1]))
+
+    def regions(self, call: t.Call, kinds: list, scope: Scope) -> Match | None:
+        sides = [a.args[1:] if k == "point" else [a] for a, k in zip(call.args, kinds, strict=True)]
+        owners = [self.one_owner(x, scope) for x in sides]
+        if None in owners or owners[0] is owners[1]:
             return None
-        out = []
-        for pair in (first, second):
-            if not all(isinstance(p, t.Column) for p in pair):
-                return None
-            owners = [self.owner(p, scope) for p in pair]
-            if owners[0] is None or owners[0] is not owners[1]:
-                return None
-            out.append(((quoted(pair[0].parts[-1]), quoted(pair[1].parts[-1])), owners[0]))
-        if out[0][1] is out[1][1]:
+        regions = [(quoted(x[0].parts[-1]), a) for x, a, k in zip(sides, call.args, kinds, strict=True) if k == "region"]
+        position = tuple(quoted(x.parts[-1]) for x in sides[0]) if kinds[0] == "point" else ()
+        return Match(*owners, position, (), None, "", tuple(r for r, _ in regions), tuple(a for _, a in regions))
+
+    def one_owner(self, columns: list, scope: Scope) -> Source | None:
+        """The table that all of the columns are of."""
+        if not all(isinstance(c, t.Column) for c in columns):
             return None
-        return out[0], out[1], radius
+        owners = [self.owner(c, scope) for c in columns]
+        return owners[0] if owners[0] is not None and all(o is owners[0] for o in owners) else None
 
     @staticmethod
     def owner(c: t.Column, scope: Scope) -> Source | None:
@@ -529,7 +651,7 @@ class _Renderer:
                 return quoted(name)
             for s in level.sources:
                 if s.has(name):
-                    if id(level) in self.bound:
+                    if id(level) in self.bound and self.owner(c, level) is s:
                         return f"{quoted(s.alias)}.{quoted(name)}"
                     return quoted(name)
                 known += [x.lower() for x in s.columns or []]

@@ -11,6 +11,7 @@ whose vertices lie on one great circle contains nothing.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 Vector = tuple[float, float, float]
 
@@ -140,6 +141,13 @@ def bind(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def sealed(body: Callable[..., str], *inputs: str) -> str:
+    """``body`` of names that stand for the inputs: these are worked out outside
+    of its lambdas, whose variables could hide a column or alias of their name."""
+    struct = "named_struct(" + ", ".join(f"'i{k}', {x}" for k, x in enumerate(inputs)) + ")"
+    return bind(struct, "__in", body(*(f"__in.i{k}" for k in range(len(inputs)))))
+
+
 def prepare(vectors: str) -> str:
     """A prepared polygon of an array of struct(x, y, z)."""
     x, y, z = (f"(u.{a} * v.{b} - u.{b} * v.{a})" for a, b in (("y", "z"), ("z", "x"), ("x", "y")))
@@ -209,7 +217,7 @@ _P = ("p.x", "p.y", "p.z")
 
 
 def point_in_polygon(ra: str, dec: str, g: str) -> str:
-    return bind(g, "g", bind(vector(ra, dec), "p", inside(_P, "g")))
+    return sealed(lambda g, ra, dec: bind(g, "g", bind(vector(ra, dec), "p", inside(_P, "g"))), g, ra, dec)
 
 
 def _near(c: tuple[str, str, str], e: str, radius: str) -> str:
@@ -229,9 +237,13 @@ def _near(c: tuple[str, str, str], e: str, radius: str) -> str:
 
 
 def circle_meets_polygon(ra0: str, dec0: str, radius: str, g: str) -> str:
-    near = f"exists(g.e, e -> {_near(_P, 'e', f'radians({radius})')})"
-    body = f"(g.n >= 3 AND ({radius}) >= 0D AND ({inside(_P, 'g')} OR {near}))"
-    return bind(g, "g", bind(vector(ra0, dec0), "p", body))
+
+    def body(g: str, ra0: str, dec0: str, radius: str) -> str:
+        near = f"exists(g.e, e -> {_near(_P, 'e', f'radians({radius})')})"
+        test = f"(g.n >= 3 AND ({radius}) >= 0D AND ({inside(_P, 'g')} OR {near}))"
+        return bind(g, "g", bind(vector(ra0, dec0), "p", test))
+
+    return sealed(body, g, ra0, dec0, radius)
 
 
 def polygons_meet(first: str, second: str) -> str:
@@ -249,7 +261,7 @@ def polygons_meet(first: str, second: str) -> str:
         f"(g.n >= 3 AND h.n >= 3 AND (exists(g.e, e -> {inside(start('e'), 'h', 'h')})"
         f" OR exists(h.e, e -> {inside(start('e'), 'g', 'g')}) OR {crossing} OR {touches('g', 'h')} OR {touches('h', 'g')}))"
     )
-    return bind(first, "g", bind(second, "h", body))
+    return sealed(lambda first, second: bind(first, "g", bind(second, "h", body)), first, second)
 
 
 # --- plain numbers (tests, pruning) ------------------------------------------
