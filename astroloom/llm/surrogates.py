@@ -139,17 +139,23 @@ PATTERNS = {
     "card": r"(?<!\d)[2-6](?:[ -]?\d){12,18}(?!\d)",
     "name": f"{_LATIN_NAME}|{_CYRILLIC_NAME}|{_ARABIC_NAME}|{_HAN_NAME}",
 }
-#: All patterns, first those of letters and digits alike; the others are only
-#: tried where their first character stands.
+#: All patterns, tried only where their first character stands: few positions
+#: of a text are more than a look behind and one ahead.
 ANY = "|".join(
     (
-        f"(?:{PATTERNS['email']})",
-        f"(?=[0-9A-Fa-f:])(?:{PATTERNS['ipv6']})",
+        "(?<![A-Za-z])(?:"
+        + "|".join(
+            (
+                PATTERNS["email"],
+                f"(?=[0-9A-Fa-f]{{0,4}}:)(?:{PATTERNS['ipv6']})",
+                f"(?=[AaPpSsTt])(?:{PATTERNS['credential']})",
+                rf"(?=[A-Z]|\p{{Lu}})(?:{PATTERNS['iban']}|{_LATIN_NAME}|{_CYRILLIC_NAME})",
+                rf"(?=[\u0621-\u064A])(?:{_ARABIC_NAME})",
+            )
+        )
+        + ")",
         "(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("phone", "ssn", "ip", "card")) + ")",
-        f"(?=[AaPpSsTt])(?:{PATTERNS['credential']})",
-        rf"(?=[A-Z]|\p{{Lu}})(?:{PATTERNS['iban']}|{_LATIN_NAME}|{_CYRILLIC_NAME})",
-        rf"(?=\p{{IsArabic}})(?:{_ARABIC_NAME})",
-        rf"(?=\p{{IsHan}})(?:{_HAN_NAME})",
+        rf"(?=[\u4E00-\u9FFF])(?:{_HAN_NAME})",
     )
 )
 
