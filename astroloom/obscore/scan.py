@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import DiscoveryError
 from ..model import SkippedFile
-from ..shipping import ship
+from ..shipping import bounded_batches, ship
 from ..sources.files import Files
 from ..sources.parsing import BLOCK, data_bytes, read_header
 from .wcs import Tan, footprint, region_text
@@ -261,7 +261,7 @@ def scan_images(
         n = min(len(local), spark.sparkContext.defaultParallelism * 4)
         rows += spark.createDataFrame([(p,) for p in local], "path string").repartition(n).mapInArrow(run, "path string, said string").collect()
     if remote:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        bounded_batches(spark)
         rows += spark.read.format("binaryFile").load(remote).select("path", "content").mapInArrow(run, "path string, said string").collect()
     observations = []
     for r in sorted(rows, key=lambda r: r.path):

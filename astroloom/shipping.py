@@ -30,3 +30,15 @@ def ship(spark: SparkSession) -> None:
                         z.write(p, os.path.join("astroloom", p.relative_to(root)))
             sc.addPyFile(str(to))
         _SHIPPED.add(sc.applicationId)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, or of one longer row: the same bound
+    for all readers and operators, so that it doesn't matter which set it last."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) != str(BATCH_BYTES):
+        spark.conf.set(setting, str(BATCH_BYTES))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import ColumnMeta, TableMeta
-from ..shipping import ship
+from ..shipping import bounded_batches, ship
 from .parsing import ARROW, Field, parse
 
 PARSED = ("votable", "ecsv", "fits")
@@ -61,9 +61,10 @@ def _known(c: ColumnMeta) -> T.DataType:
 
 
 def _whole_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """path, content: each file is one row, read by Spark on an executor."""
+    """path, content: each file is one row, read by Spark on an executor. A batch
+    holds small files of a few megabytes together, or one larger file."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(spark)
     return spark.read.format("binaryFile").load(list(files)).select("path", "content")
 
 
