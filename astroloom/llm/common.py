@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import bounded_batches, ship
 
 #: Stands for a null id where a key is needed (joins, orders).
 NULL_ID = -(2**63)
@@ -36,22 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of a few hundred texts: a worker's memory stays bounded
-    however many long documents stand in a row."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """``fn`` over each Arrow batch; one narrow stage, nothing is collected."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 256) -> DataFrame:
+    """``fn`` over slices of each Arrow batch; one narrow stage, nothing is
+    collected. Batches are bounded in bytes, slices in rows, so a worker's memory
+    is, however many long documents stand in a row."""
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
+                if out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -66,21 +63,48 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary one is set."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Only on one
+    machine may it be unset: then a temporary one is set."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         there = os.path.join(tempfile.gettempdir(), f"astroloom-checkpoints-{os.getpid()}")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)
     return there
 
 
+#: Checkpoints that were made and not deleted yet.
+_MADE: list[str] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _MADE.append(file.get())
+    return out
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> int:
+    """A mark for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, mark: int) -> None:
+    """Deletes the checkpoints made since the mark. Only for results that are
+    written: a frame that is still to run needs them."""
+    while len(_MADE) > mark:
+        delete(spark, _MADE.pop())
 
 
 def text_key(text: Column) -> list[Column]:

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, raw_texts, table
+from ..shipping import bounded_batches, ship
+from .common import raw_texts, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
@@ -215,6 +216,7 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFra
     copy = F.struct(F.pmod(F.col("place") - 1, F.lit(n)).cast("int").alias("at"), F.lit(True).alias("ahead"))
     to = F.explode_outer(F.when(F.col("is_head"), F.array(own, copy)).otherwise(F.array(own)))
     dealt = placed.select("doc_id", "text", to.alias("to")).select("doc_id", "text", "to.at", "to.ahead")
+    ship(spark)
     bounded_batches(spark)
     return (
         dealt.repartitionById(n, F.col("at"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,19 +43,28 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line_hash, doc): each counted key once per document row."""
+    """(line_hash, doc, part): each counted key once per document row. ``part``
+    deals the rows without an id, which count as one document, over many keys."""
 
     def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, owners = [], []
-        for doc, text in zip(batch.column("doc").to_pylist(), raw_texts(batch.column("text")), strict=True):
+        hashes, owners, parts = [], [], []
+        columns = (batch.column("doc").to_pylist(), batch.column("part").to_pylist(), raw_texts(batch.column("text")))
+        for doc, part, text in zip(*columns, strict=True):
             found = {line_key(x, min_chars) for x in text.split(b"\n")} - {None}
             hashes += found
             owners += [doc] * len(found)
+            parts += [part] * len(found)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hashes, pa.binary()), pa.array(owners, pa.int64())], ["line_hash", "doc"]
+            [pa.array(hashes, pa.binary()), pa.array(owners, pa.int64()), pa.array(parts, pa.int64())], ["line_hash", "doc", "part"]
         )
 
-    return map_batches(docs.select(id_key(F.col("doc_id")).alias("doc"), "text"), pairs, "line_hash binary, doc long")
+    return map_batches(docs.select(*owner(), "text"), pairs, "line_hash binary, doc long, part long")
+
+
+def owner() -> list[Column]:
+    """The key of a row's dropped lines."""
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    return [id_key(F.col("doc_id")).alias("doc"), part.cast("long").alias("part")]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -73,13 +82,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = (
         pairs.join(shared, "line_hash")
         .where(F.col("doc") != F.col("keeper"))
-        .groupBy("doc")
-        .agg(F.collect_set("line_hash").alias("dropped"))
+        .groupBy("doc", "part")
+        .agg(F.collect_set("line_hash").alias("dropped"))  # lines of a text at most
     )
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text", id_key(F.col("doc_id")).alias("doc")
-    ).join(drops, "doc", "left")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text", *owner()
+    ).join(drops, ["doc", "part"], "left")
 
     def reassemble(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, lines, dropped = [], [], []
