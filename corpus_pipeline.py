@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astroloom.llm import decontamination, linededup, pieces, simhash, toxicity
-from astroloom.llm.common import id_key, settle, shared_dir, table, text_key
+from astroloom.llm.common import delete, id_key, made, settle, shared_dir, sweep, table, text_key
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,21 +84,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder; what
-    a stage has read goes when the next one's input is written."""
+    """All stages over ``documents``, each written to the shared folder. When a
+    stage's output is written, its input and its checkpoints go; what stays is
+    the folder of the last one, which the result reads."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}_{name}")
-            if k:
-                _delete(spark, f"{at}/{k - 1}_{STAGES[k - 1][0]}")
-            docs = spark.read.parquet(f"{at}/{k}_{name}")
+        mark = made()
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}_{name}")
+        sweep(spark, mark)
+        if k:
+            delete(spark, f"{at}/{k - 1}_{STAGES[k - 1][0]}")
+        docs = spark.read.parquet(f"{at}/{k}_{name}")
     return docs
