@@ -13,6 +13,8 @@ ends); each segment has its own agenda, and equal segments share one result in
 a bounded memory. Where a vocabulary does have pieces with inner spaces, the
 whole text is one agenda.
 
+A model whose normaliser does more is refused at load.
+
 Check: in every Arrow batch, each segment that is new to the worker is also
 encoded and decoded by the sentencepiece library, and a difference stops the
 job. Segments are encoded apart exactly because nothing crosses their bounds;
@@ -41,6 +43,8 @@ MODEL = "piece_bpe_32k.model"
 KEPT = 300_000
 KEPT_CHARS = 48
 _PLACE = (1 << 32) - 1
+#: Compatibility forms, case and white space that a normaliser would change.
+PROBE = "ﬁ Ａ１ ｶﾞ Ⅳ é E\u0301  X\tß \u3000y\u200b "
 
 
 class Encoder:
@@ -50,6 +54,8 @@ class Encoder:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if self.library.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model changes texts before it encodes them; only white space escaping is known here")
         n = self.library.get_piece_size()
         self.bytes = {}
         self.special = set()

@@ -280,6 +280,20 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode_documents(frame(spark, []), pieces.model_path()).collect() == []
 
 
+def test_a_normalising_model_is_refused(monkeypatch):
+    import unicodedata
+
+    import sentencepiece
+
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def normalize(self, text):
+            return super().normalize(unicodedata.normalize("NFKC", text))
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="before it encodes"):
+        pieces.Encoder(pieces.model_path())
+
+
 def test_a_wrong_agenda_is_noticed():
     e = pieces.Encoder(pieces.model_path())
     e.rank = {p: r for p, r in e.rank.items() if p != " the"}
