@@ -246,6 +246,8 @@ def close(name: str, known: list[str]) -> list[str]:
 
 
 INNER, OUTER = (",", "INNER", "CROSS"), ("LEFT", "RIGHT", "FULL")
+#: A table of fewer bytes a core is read by few tasks.
+FEW_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -292,6 +294,8 @@ class _Renderer:
         self.parsed: dict[int, str] = {}
         #: Rendered entries of FROM clauses, and tests that a join or a WHERE clause gets beside its own.
         self.rendered: dict[int, str] = {}
+        #: Aliases to shuffle by cell: their tables are read by too few tasks for costly tests.
+        self.spread: dict[int, list[str]] = {}
         self.extra: dict[int, list[str]] = {}
 
     # -- queries ---------------------------------------------------------------
@@ -350,7 +354,8 @@ class _Renderer:
             items.append(text)
             if columns is not None:
                 columns.append(name or text)
-        sql = "SELECT " + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
+        hint = f"/*+ MERGE({', '.join(self.spread[id(scope)])}) */ " if id(scope) in self.spread else ""
+        sql = f"SELECT {hint}" + ("DISTINCT " if q.distinct else "") + ", ".join(items) + from_sql
         tests = ([self.expr(q.where, scope)] if q.where is not None else []) + self.extra.get(id(scope), [])
         if tests:
             sql += " WHERE " + " AND ".join(tests)
@@ -497,6 +502,8 @@ class _Renderer:
             on = self.keyed(m, k, helpers, quoted(m.one.alias), quoted(m.other.alias))
             if m.regions:
                 copied.add(id(m.one))
+                if all(self.few_tasks(x.view) for x in (m.one, m.other)):
+                    self.spread.setdefault(id(scope), []).append(quoted(m.other.alias))
             self.extra.setdefault(id(scope) if from_where else id(n), []).extend(on)
             if not from_where and n.on is None:
                 self.extra.setdefault(id(scope), []).extend(on)
@@ -505,9 +512,24 @@ class _Renderer:
         self.bound.add(id(scope))
         for s in scope.sources:
             if id(s) in helpers:
-                self.rendered[id(s.node)] = f"({self.helped(s.view, helpers[id(s)])}) AS {quoted(s.alias)}"
+                source = self.parsing(s.view) if any(k == "parsed" for k, _ in helpers[id(s)]) else s.view
+                self.rendered[id(s.node)] = f"({self.helped(source, helpers[id(s)])}) AS {quoted(s.alias)}"
         return self.tree(q.source, scope)
 
+    def few_tasks(self, view: str) -> bool:
+        """Whether a table is so small that its scan has fewer tasks than there are cores."""
+        spark = getattr(self.registry, "spark", None)
+        if spark is None or view.strip("`") in self.pruned:
+            return False
+        size = spark.table(view)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) < FEW_BYTES * spark.sparkContext.defaultParallelism
+
+    def parsing(self, view: str) -> str:
+        """A table whose regions are to be parsed, by as many tasks as there are cores."""
+        if not self.few_tasks(view):
+            return view
+        return f"(SELECT /*+ REPARTITION({self.registry.spark.sparkContext.defaultParallelism}) */ * FROM {view})"
+
     @staticmethod
     def helped(source: str, helpers: list[tuple[str, str]]) -> str:
         """SQL of a table with helper columns: parsed regions, then cells, then copies."""
@@ -541,7 +563,7 @@ class _Renderer:
         second.append(("plain", f"{sky}_b.g AS {cells.REGION}_{k}_b"))
         self.parsed[id(m.nodes[-1])] = f"{other}.{cells.REGION}_{k}_b"
         if len(m.regions) == 1:
-            first.append(("plain", f"{cells.levels_of_regions(m.other.view, m.regions[0])} AS {levels}"))
+            first.append(("plain", f"{cells.levels_of_regions(self.parsing(m.other.view), m.regions[0])} AS {levels}"))
             first.append(("copies", f"explode_outer({cells.point_keys(*at, levels)}) AS {cell}"))
             second.append(("copies", f"explode_outer({cells.region_keys(f'{sky}_b')}) AS {cell}"))
             return [equal]
@@ -551,7 +573,7 @@ class _Renderer:
         tests = []
         for side, s, there in ((first, f"{sky}_a", (m.other, m.regions[1])), (second, f"{sky}_b", (m.one, m.regions[0]))):
             tag = s[-1]
-            side.append(("plain", f"{cells.levels_of_regions(there[0].view, there[1])} AS {levels}_{tag}"))
+            side.append(("plain", f"{cells.levels_of_regions(self.parsing(there[0].view), there[1])} AS {levels}_{tag}"))
             side.append(("plain", f"{s}.c AS {cells.CAP}_{k}_{tag}"))
             side.append(("plain", f"{cells.region_cells(s, f'{levels}_{tag}')} AS {cells.CELLS}_{k}_{tag}"))
             side.append(("copies", f"explode_outer({cells.dealt_cells(f'{cells.CELLS}_{k}_{tag}', s)}) AS {cell}"))

@@ -416,12 +416,60 @@ adql(
     "geo_circle_intersects_region",
     "SELECT id FROM sky.footprints WHERE INTERSECTS(CIRCLE('ICRS', 56.75, 24.12, 15.0), s_region) = 1",
 )
-del SQL["geo_circle_intersects_region"]
+
+
+def _dot(a: tuple, b: tuple) -> str:
+    return "(" + " + ".join(f"{u} * {v}" for u, v in zip(a, b, strict=True)) + ")"
+
+
+def _cross(a: tuple, b: tuple) -> tuple[str, str, str]:
+    return tuple(f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1)))
+
+
+def _boxes(source: str, keep: str) -> str:
+    """SQL of the squares two degrees wide at x, y, with their corners as vectors."""
+    corners = [_vector(f"x + {i}", f"y + {j}") for i, j in ((0, 0), (2, 0), (2, 2), (0, 2))]
+    columns = ", ".join(f"{v} AS {c}{k}" for k, corner in enumerate(corners) for c, v in zip("abc", corner, strict=True))
+    middle = ", ".join(f"{v} AS {c}m" for c, v in zip("abc", _vector("x + 1", "y + 1"), strict=True))
+    return f"(SELECT {keep}, {columns}, {middle} FROM {source}) q"
+
+
+_CORNERS = [(f"a{k}", f"b{k}", f"c{k}") for k in range(4)]
+_EDGES = list(zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
+
+
+def circle_meets_box(ra: float, dec: float, radius: float) -> str:
+    """The centre on the inner side of all edges, a corner in the circle, or an
+    edge that comes nearer than the radius between its ends."""
+    p = tuple(f"({x})" for x in _vector(str(ra), str(dec)))
+    inside = " AND ".join([f"{_dot(_cross(u, v), p)} >= 0" for u, v in _EDGES] + [f"{_dot(('am', 'bm', 'cm'), p)} > 0"])
+    tests = [f"({inside})"] + [f"{_dot(u, p)} >= cos(radians({radius}))" for u in _CORNERS]
+    for u, v in _EDGES:
+        n = _cross(u, v)
+        near = f"abs({_dot(n, p)}) <= sin(radians({radius})) * sqrt({_dot(n, n)})"
+        tests.append(f"({near} AND {_dot(_cross(n, u), p)} >= 0 AND {_dot(_cross(v, n), p)} >= 0)")
+    return " OR ".join(tests)
+
+
+def polygon_meets_box(vertices: list[tuple[float, float]]) -> str:
+    """Two convex polygons of one hemisphere are apart only if an edge's great
+    circle of one of them has all of the other on its outer side."""
+    points = [tuple(f"({x})" for x in _vector(str(a), str(d))) for a, d in vertices]
+    middle = _vector(str(sum(a for a, _ in vertices) / len(vertices)), str(sum(d for _, d in vertices) / len(vertices)))
+    apart = []
+    for edges, others in ((_EDGES, points), (list(zip(points, points[1:] + points[:1], strict=True)), _CORNERS)):
+        for u, v in edges:
+            apart.append("(" + " AND ".join(f"{_dot(_cross(u, v), o)} < 0" for o in others) + ")")
+    return f"{_dot(('am', 'bm', 'cm'), middle)} > cos(radians(60)) AND NOT ({' OR '.join(apart)})"
+
+
+_BOXES = _boxes("sky.footprints", "id")
+SQL["geo_circle_intersects_region"] = with_sky(f"SELECT id FROM {_BOXES} WHERE {circle_meets_box(56.75, 24.12, 15.0)}")
 adql(
     "geo_polygon_intersects_region",
     "SELECT id FROM sky.footprints WHERE INTERSECTS(s_region, POLYGON('ICRS', 40, 5, 75, 8, 70, 41, 38, 35)) = 1",
+    f"SELECT id FROM {_BOXES} WHERE {polygon_meets_box([(40, 5), (75, 8), (70, 41), (38, 35)])}",
 )
-del SQL["geo_polygon_intersects_region"]
 adql(
     "geo_region_region",
     "SELECT a.id AS a, b.id AS b FROM sky.footprints AS a JOIN sky.footprints AS b ON a.id < b.id"
@@ -450,6 +498,35 @@ def geo_crossmatch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("s.id").alias("star"), F.col("g.id").alias("galaxy"))
 
 
+@frame(
+    "geo_crossmatch_left",
+    f"SELECT s.id AS star, g.id AS galaxy FROM sky.stars AS s LEFT JOIN sky.galaxies AS g ON {hav('s.ra', 's.dec', 'g.ra', 'g.dec')} <= 0.4",
+)
+def geo_crossmatch_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.crossmatch import crossmatch
+
+    registry = engine(spark, sf_dir).registry
+    found = crossmatch(registry.frame("sky.stars"), registry.frame("sky.galaxies"), 0.4, left="s", right="g", how="left")
+    return found.select(F.col("s.id").alias("star"), F.col("g.id").alias("galaxy"))
+
+
+adql(
+    "geo_match_full",
+    "SELECT s.id AS star, g.id AS galaxy FROM sky.stars AS s FULL JOIN sky.galaxies AS g"
+    " ON CONTAINS(POINT('ICRS', s.ra, s.dec), CIRCLE('ICRS', g.ra, g.dec, 0.3)) = 1",
+    f"SELECT s.id AS star, g.id AS galaxy FROM sky.stars AS s FULL JOIN sky.galaxies AS g ON {hav('s.ra', 's.dec', 'g.ra', 'g.dec')} <= 0.3",
+)
+adql(
+    "geo_match_three",
+    "SELECT s.id AS star, g.id AS galaxy, f.id AS footprint FROM sky.stars AS s"
+    " JOIN sky.galaxies AS g ON DISTANCE(POINT('ICRS', s.ra, s.dec), POINT('ICRS', g.ra, g.dec)) < 0.5"
+    " LEFT JOIN sky.deep AS f ON CONTAINS(POINT('ICRS', g.ra, g.dec), CIRCLE('ICRS', f.ra, f.dec, 0.2)) = 1",
+    f"SELECT s.id AS star, g.id AS galaxy, f.id AS footprint FROM sky.stars AS s JOIN sky.galaxies AS g"
+    f" ON abs(s.dec - g.dec) < 0.51 AND {hav('s.ra', 's.dec', 'g.ra', 'g.dec')} < 0.5 LEFT JOIN sky.deep AS f"
+    f" ON abs(g.dec - f.dec) < 0.21 AND {hav('g.ra', 'g.dec', 'f.ra', 'f.dec')} <= 0.2",
+)
+
+
 @frame(
     "geo_cone_column",
     f"SELECT id FROM sky.deep WHERE {hav('ra', 'dec', '200.0', '-30.0')} <= 8.0",
@@ -499,6 +576,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     sc = spark.sparkContext
     shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     shared = shared or os.path.join(tempfile.gettempdir(), f"astroloom-{os.getpid()}")
     return f"{shared}/catalog-{name}-{uuid.uuid4().hex}"
 
@@ -600,29 +679,29 @@ def scan_fits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- HEALPix-partitioned tables -----------------------------------------------------------------
+_SHARDED: dict[tuple, Engine] = {}
+
+
 def _sharded(spark: SparkSession, sf_dir: str) -> Engine:
-    """sky.stars cut into order-1 shards, and the file list of the catalog."""
+    """sky.stars cut into order-1 shards, and the file list of the catalog: written once."""
     from .functions import healpix
     from .sources.discovery import discover
 
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir)
+    if key in _SHARDED:
+        return _SHARDED[key]
     root = f"{work_folder(spark, 'hats')}/sky/stars"
     frame_ = engine(spark, sf_dir).registry.frame("sky.stars").select("id", "ra", "dec", "mag")
-    from .shipping import ship
-
-    ship(spark)
-
-    @F.pandas_udf("int")
-    def pixel(ra: pd.Series, dec: pd.Series) -> pd.Series:
-        return pd.Series([healpix.pixel_of(1, a, d) for a, d in zip(ra, dec, strict=True)])
-
-    frame_.withColumn("Norder", F.lit(1)).withColumn("Npix", pixel("ra", "dec")).write.partitionBy("Norder", "Npix").parquet(f"{root}/dataset")
+    pixel = F.expr(f"CAST({healpix.pixel_sql(1, 'ra', 'dec')} AS INT)")
+    frame_.withColumn("Norder", F.lit(1)).withColumn("Npix", pixel).write.partitionBy("Norder", "Npix").parquet(f"{root}/dataset")
     Path = spark._jvm.org.apache.hadoop.fs.Path
     target = Path(f"{root}/partition_info.csv")
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     out.write(bytearray(b"Norder,Npix\n1,0\n"))
     out.close()
     plain = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
-    return Engine(spark, discover(spark, [plain]))
+    _SHARDED[key] = Engine(spark, discover(spark, [plain]))
+    return _SHARDED[key]
 
 
 def _hats(name: str, where: str, oracle: str) -> None:
@@ -696,7 +775,8 @@ def _sia(name: str, pairs: list[tuple[str, str]], oracle: str) -> None:
 
 _sia("sia_band", [("BAND", "0.2 0.3"), ("BAND", "0.9")], "(em_low <= 0.3 AND em_low + 0.5 >= 0.2) OR (em_low <= 0.9 AND em_low + 0.5 >= 0.9)")
 _sia("sia_time", [("TIME", "-Inf 50"), ("COLLECTION", "BUILDING")], "t_low <= 50 AND collection = 'BUILDING'")
-_sia("sia_pos_circle", [("POS", "CIRCLE 56.75 24.12 15")], "")
+_sia("sia_pos_circle", [("POS", "CIRCLE 56.75 24.12 15")], "true")
+SQL["sia_pos_circle"] = f"SELECT obs_publisher_did FROM {_boxes(f'({_PLANE_SQL}) p', 'plane_uri AS obs_publisher_did')} WHERE {circle_meets_box(56.75, 24.12, 15.0)}"
 _sia("sia_pos_band", [("POS", "RANGE 0 360 10 90")], "y + 1 >= 10")
 
 

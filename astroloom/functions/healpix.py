@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .sphere import separation
+from .sphere import bind, sealed, separation
 
 # Fixed values of the projection: ring and longitude offsets of the 12 faces.
 _RING = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
@@ -86,3 +86,41 @@ def pixel_of(order: int, ra: float, dec: float) -> int:
     for bit in range(order):
         out |= (x >> bit & 1) << 2 * bit | (y >> bit & 1) << 2 * bit + 1
     return out
+
+
+def pixel_sql(order: int, ra: str, dec: str) -> str:
+    """``pixel_of`` as a Spark SQL expression: no row leaves the JVM."""
+    n = 1 << order
+
+    def body(ra: str, dec: str) -> str:
+        lon = f"(pmod({ra}, 360D) / 90D)"
+        a, b = f"{n}D * (0.5D + {lon})", f"{n}D * sin(radians({dec})) * 0.75D"
+        belt = bind(
+            f"named_struct('u', CAST(floor({a} - {b}) AS BIGINT), 'd', CAST(floor({a} + {b}) AS BIGINT))",
+            "h",
+            bind(
+                f"named_struct('u', h.u DIV {n}, 'd', h.d DIV {n})",
+                "f",
+                "named_struct('f', CASE WHEN f.u = f.d THEN IF(f.u = 4, 4L, f.u + 4) WHEN f.u < f.d THEN f.u ELSE f.d + 8 END,"
+                f" 'x', h.d % {n}, 'y', {n - 1} - h.u % {n})",
+            ),
+        )
+        # 1 - |z| loses digits next to a pole; the half angle does not.
+        width = f"{n * math.sqrt(6)!r}D * sin(radians((90D - abs({dec})) / 2D))"
+        quarter = f"least(3L, CAST(floor({lon}) AS BIGINT))"
+        cap = bind(
+            f"named_struct('q', {quarter}, 't', {lon} - {quarter}, 'w', {width}, 'north', {dec} >= 0D)",
+            "h",
+            bind(
+                f"named_struct('u', least({n - 1}L, CAST(floor(h.t * h.w) AS BIGINT)), 'd', least({n - 1}L, CAST(floor((1D - h.t) * h.w) AS BIGINT)))",
+                "f",
+                f"IF(h.north, named_struct('f', h.q, 'x', {n - 1} - f.d, 'y', {n - 1} - f.u), named_struct('f', h.q + 8, 'x', f.u, 'y', f.d))",
+            ),
+        )
+        bits = "".join(
+            f" + shiftleft(shiftright(p.x, {k}) & 1L, {2 * k}) + shiftleft(shiftright(p.y, {k}) & 1L, {2 * k + 1})" for k in range(order)
+        )
+        place = f"CASE WHEN abs(sin(radians({dec}))) <= 2D / 3D THEN {belt} ELSE {cap} END"
+        return bind(place, "p", f"p.f * {1 << 2 * order}L{bits}")
+
+    return sealed(body, f"CAST({ra} AS DOUBLE)", f"CAST({dec} AS DOUBLE)")

@@ -172,9 +172,9 @@ def prepare(vectors: str) -> str:
     return bind(vectors, "vs", bind(edges, "es", body))
 
 
-def parse_region(region: str) -> str:
-    """The polygon of an STC-S ``POLYGON ICRS`` text; NULL where it is no such
-    text, has an odd or too small count of numbers, or any is no number."""
+def region_vectors(region: str) -> str:
+    """The vertices of an STC-S ``POLYGON ICRS`` text as vectors; NULL where it
+    is no such text, has an odd or too small count of numbers, or any is no number."""
     tokens = f"split(trim(regexp_replace({region}, '[ \\\\t\\\\r\\\\n]+', ' ')), ' ')"
     numbers = "transform(slice(ts, 3, greatest(size(ts) - 2, 0)), t -> try_cast(t AS DOUBLE))"
     sound = (
@@ -182,21 +182,27 @@ def parse_region(region: str) -> str:
         " AND forall(ns, n -> n IS NOT NULL AND NOT isnan(n) AND abs(n) < 1e300D)"
     )
     pairs = f"transform(sequence(0, size(ns) DIV 2 - 1), k -> {vector('get(ns, 2 * k)', 'get(ns, 2 * k + 1)')})"
-    return bind(tokens, "ts", bind(numbers, "ns", f"CASE WHEN {sound} THEN {prepare(pairs)} END"))
+    return bind(tokens, "ts", bind(numbers, "ns", f"CASE WHEN {sound} THEN {pairs} END"))
+
+
+def parse_region(region: str) -> str:
+    """The prepared polygon of an STC-S text, or NULL."""
+    return bind(region_vectors(region), "qs", f"CASE WHEN qs IS NOT NULL THEN {prepare('qs')} END")
 
 
-def cap_of(g: str) -> str:
-    """struct(ra, dec, radius) of a cap that holds a polygon (degrees): around
-    the sum of its vertices, the whole sky where that is no use."""
-    length = f"sqrt({g}.sx * {g}.sx + {g}.sy * {g}.sy + {g}.sz * {g}.sz)"
-    least = f"aggregate({g}.e, 1D, (s, e) -> least(s, (e.ux * {g}.sx + e.uy * {g}.sy + e.uz * {g}.sz) / l))"
+def cap_of(vs: str) -> str:
+    """struct(ra, dec, radius) of a cap that holds the polygon of some vertices
+    (a bound name; degrees): around their sum, the whole sky where that is no use."""
+    total = ", ".join(f"'{c}', aggregate({vs}, 0D, (s, v) -> s + v.{c})" for c in "xyz")
+    length = "sqrt(o.x * o.x + o.y * o.y + o.z * o.z)"
+    least = f"aggregate({vs}, 1D, (s, v) -> least(s, (v.x * o.x + v.y * o.y + v.z * o.z) / l))"
     cap = (
-        f"CASE WHEN l > 1e-9D AND m > 0.0017D THEN named_struct('ra', pmod(degrees(atan2({g}.sy, {g}.sx)), 360D),"
-        f" 'dec', degrees(asin(greatest(-1D, least(1D, {g}.sz / l)))),"
+        "CASE WHEN l > 1e-9D AND m > 0.0017D THEN named_struct('ra', pmod(degrees(atan2(o.y, o.x)), 360D),"
+        " 'dec', degrees(asin(greatest(-1D, least(1D, o.z / l)))),"
         " 'radius', degrees(acos(greatest(-1D, least(1D, m)))) + 1e-5D)"
-        f" WHEN {g} IS NOT NULL THEN named_struct('ra', 0D, 'dec', 0D, 'radius', 180D) END"
+        f" WHEN {vs} IS NOT NULL THEN named_struct('ra', 0D, 'dec', 0D, 'radius', 180D) END"
     )
-    return bind(length, "l", bind(least, "m", cap))
+    return bind(f"named_struct({total})", "o", bind(length, "l", bind(least, "m", cap)))
 
 
 def _dot(e: str, part: str, x: str, y: str, z: str) -> str:

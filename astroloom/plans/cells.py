@@ -156,15 +156,14 @@ def levels_of_circles(source: str, radius: str) -> str:
 
 def region_struct(region: str) -> str:
     """A region parsed once: its polygon g, bounding cap c and level l."""
-    return sphere.bind(
-        sphere.parse_region(region),
-        "g",
-        sphere.bind(sphere.cap_of("g"), "c", f"named_struct('g', g, 'c', c, 'l', {level_of('c.radius')})"),
-    )
+    whole = f"CASE WHEN qs IS NOT NULL THEN named_struct('g', {sphere.prepare('qs')}, 'c', c, 'l', {level_of('c.radius')}) END"
+    return sphere.bind(sphere.region_vectors(region), "qs", sphere.bind(sphere.cap_of("qs"), "c", whole))
 
 
 def levels_of_regions(source: str, region: str) -> str:
-    return f"(SELECT collect_set(s.l) FROM (SELECT {region_struct(region)} AS s FROM {source}))"
+    """The levels of a table's regions, as one array: a scalar subquery."""
+    level = sphere.bind(sphere.region_vectors(region), "qs", sphere.bind(sphere.cap_of("qs"), "c", level_of("c.radius")))
+    return f"(SELECT collect_set(l) FROM (SELECT {level} AS l FROM {source}))"
 
 
 def parsed_once(source: str, region: str, name: str) -> str:

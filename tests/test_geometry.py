@@ -234,3 +234,12 @@ def test_shard_pruning(spark, sharded, cone):
         q = f"SELECT id FROM {table.qualified} WHERE {text}"
         assert not translate(q, registry).pruned
         assert {r["id"] for r in engine.run(q).table.to_pylist()} == rows
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 7])
+def test_healpix_pixels_as_sql(spark, order):
+    ra, dec = points(3000, 7)
+    rows = list(zip(ra.tolist() + [0.0, 45.0, 90.0, 359.999999, -10.0, 360.0], dec.tolist() + [90.0, 0.0, -90.0, 41.8, -41.9, 12.0], strict=True))
+    df = spark.createDataFrame([(float(a), float(d)) for a, d in rows], "x double, h double")
+    got = [r.p for r in df.select(F.expr(healpix.pixel_sql(order, "x", "h")).alias("p")).collect()]
+    assert got == [healpix.pixel_of(order, a, d) for a, d in rows]
