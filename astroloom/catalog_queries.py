@@ -574,11 +574,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
     import os
     import tempfile
 
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    shared = shared or os.path.join(tempfile.gettempdir(), f"astroloom-{os.getpid()}")
+    from .shipping import shared_folder
+
+    shared = shared_folder(spark) or os.path.join(tempfile.gettempdir(), f"astroloom-{os.getpid()}")
     return f"{shared}/catalog-{name}-{uuid.uuid4().hex}"
 
 

@@ -208,11 +208,28 @@ def image_files(source: str, files: Files) -> list[str]:
     return [source]
 
 
+#: What a worker says of a file that it cannot open.
+WHOLE = json.dumps({"whole": True})
+
+
+def remote_reader(uri: str):
+    """(read(at, n), size, file) of a remote file, read in ranges by Arrow."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+    f = store.open_input_file(path)
+    if f.read_at(2, 0) == b"\x1f\x8b":  # only ranges of plain files are of use
+        f.close()
+        raise ValueError("a compressed file is read whole")
+    return (lambda at, n: f.read_at(min(n, max(0, f.size() - at)), at)), f.size(), f
+
+
 def scan_images(
     spark: SparkSession, sources: list[str], profile: Profile | None = None
 ) -> tuple[list[Observation], list[SkippedFile]]:
     """Every image of the sources is an observation. Headers are read by the
-    executors, in ranges where files are local, else through Spark's reader."""
+    executors, in ranges; only remote files in a store that Arrow cannot open
+    there are read whole, by Spark's reader."""
     profile, files = profile or Profile(), Files(spark)
     paths, skipped = [], []
     for s in sources:
@@ -242,7 +259,14 @@ def scan_images(
             for path, raw in zip(names, contents, strict=True):
 
                 def one(path=path, raw=raw) -> dict:
-                    if raw is None:
+                    if raw is None and "://" in path and not path.startswith("file://"):
+                        try:
+                            read, size, f = remote_reader(path)
+                        except Exception:  # noqa: BLE001  no such store here: Spark reads the file
+                            return {"whole": True}
+                        with f:
+                            image = read_image(read)
+                    elif raw is None:
                         read, f = local_reader(path.removeprefix("file://"))
                         with f:
                             image, size = read_image(read), os.path.getsize(path.removeprefix("file://"))
@@ -256,13 +280,14 @@ def scan_images(
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], ["path", "said"])
 
     ship(spark)
-    rows = []
-    if local:
-        n = min(len(local), spark.sparkContext.defaultParallelism * 4)
-        rows += spark.createDataFrame([(p,) for p in local], "path string").repartition(n).mapInArrow(run, "path string, said string").collect()
-    if remote:
+    rows, said_by = [], "path string, said string"
+    if paths := local + remote:
+        n = min(len(paths), spark.sparkContext.defaultParallelism * 4)
+        rows += spark.createDataFrame([(p,) for p in paths], "path string").repartition(n).mapInArrow(run, said_by).collect()
+    if whole := [r.path for r in rows if r.said == WHOLE]:
         bounded_batches(spark)
-        rows += spark.read.format("binaryFile").load(remote).select("path", "content").mapInArrow(run, "path string, said string").collect()
+        rows = [r for r in rows if r.said != WHOLE]
+        rows += spark.read.format("binaryFile").load(whole).select("path", "content").mapInArrow(run, said_by).collect()
     observations = []
     for r in sorted(rows, key=lambda r: r.path):
         said = json.loads(r.said)

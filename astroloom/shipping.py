@@ -42,3 +42,13 @@ def bounded_batches(spark: SparkSession) -> None:
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(setting) != str(BATCH_BYTES):
         spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``;
+    None on one machine where it is unset."""
+    sc = spark.sparkContext
+    there = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return there

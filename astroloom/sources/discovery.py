@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import re
 from collections.abc import Callable
 from dataclasses import replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +38,15 @@ def detect_position(columns: list[ColumnMeta], ranges: Callable[[str], Range]) -
     """By UCD (high confidence), then name (medium), then range (low); a pair
     must have sky ranges, whichever rule found it."""
 
+    def ask(names: list[str]) -> None:
+        if isinstance(ranges, ColumnRanges):
+            ranges.load(names)  # together
+
     def sane(ra: str | None, dec: str | None) -> bool:
-        return bool(ra and dec) and _in(ranges(ra), 0, 360) and _in(ranges(dec), -90, 90)
+        if not ra or not dec:
+            return False
+        ask([ra, dec])
+        return _in(ranges(ra), 0, 360) and _in(ranges(dec), -90, 90)
 
     def by_ucd(ucd: str) -> str | None:
         return next((c.name for c in columns if (c.ucd or "").lower() == ucd), None)
@@ -53,6 +63,7 @@ def detect_position(columns: list[ColumnMeta], ranges: Callable[[str], Range]) -
         if sane(ra, dec):
             return RaDecGuess(ra, dec, rule, confidence)
     real = [c.name for c in columns if c.datatype in ("float", "double") and not _is_array(c)]
+    ask(real)
     for ra in (c for c in real if _in(ranges(c), 0, 360)):
         for dec in (c for c in real if c != ra and _in(ranges(c), -90, 90)):
             return RaDecGuess(ra, dec, "unit_sanity", "low")
@@ -63,6 +74,47 @@ def _is_array(c: ColumnMeta) -> bool:
     return c.datatype != "char" and bool(c.arraysize) and c.arraysize != "1"
 
 
+class ColumnRanges:
+    """The ranges of the columns that a rule asks for, and of no others: from
+    the statistics in Parquet footers, else from one aggregation over them."""
+
+    def __init__(self, df: DataFrame, parquet: list[str] | None = None) -> None:
+        self.df, self.parquet = df, parquet
+        self.known: dict[str, Range] = {}
+        self.numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+
+    def __call__(self, name: str) -> Range:
+        self.load([name])
+        return self.known.get(name)
+
+    def load(self, names: list[str]) -> None:
+        wanted = [n for n in names if n in self.numeric and n not in self.known]
+        if wanted and self.parquet:
+            self.known |= self.footers(wanted)
+        if rest := [n for n in wanted if n not in self.known]:
+            self.known |= column_ranges(self.df.select(*[f"`{n}`" for n in rest]))
+
+    def footers(self, names: list[str]) -> dict[str, Range]:
+        """Smallest and largest values by Spark's aggregate push-down, which
+        reads footers and no rows. Columns with values that are no numbers, or
+        files without statistics, are left to the aggregation."""
+        session = self.df.sparkSession.newSession()
+        session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+        read = session.read.option("recursiveFileLookup", "true").parquet(*self.parquet)
+        ends = [f(F.col(f"`{n}`")).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]
+        try:
+            row = read.agg(*ends).first()
+        except (Py4JJavaError, PySparkException):
+            return {}
+        out: dict[str, Range] = {}
+        for i, n in enumerate(names):
+            low, high = row[f"lo{i}"], row[f"hi{i}"]
+            if low is not None and math.isfinite(low) and math.isfinite(high):
+                out[n] = (float(low), float(high))
+        return out
+
+
 def column_ranges(df: DataFrame) -> dict[str, Range]:
     """Smallest and largest finite value of every numeric column: one
     aggregation over the table, whatever its width."""
@@ -219,7 +271,7 @@ def discover_parquet(spark: SparkSession, group: SourceGroup, files: Files) -> T
         primary_key=known.get("primary_key"),
         description=known.get("description"),
     )
-    return _positioned(table, column_ranges(df).get)
+    return _positioned(table, ColumnRanges(df, list(group.files)))
 
 
 def _column(f: T.StructField) -> ColumnMeta:
@@ -240,7 +292,7 @@ def discover_delimited(spark: SparkSession, group: SourceGroup, kind: str, files
         group.schema, group.table, tuple(columns), kind, tuple(group.files),
         primary_key=known.get("primary_key"), description=known.get("description"),
     )
-    return _positioned(table, column_ranges(df).get)
+    return _positioned(table, ColumnRanges(df))
 
 
 def discover_parsed(spark: SparkSession, group: SourceGroup, kind: str, files: Files) -> list[TableMeta]:

@@ -8,11 +8,13 @@ import posixpath
 import re
 import tempfile
 import urllib.request
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import urlparse
 
 from ..model import SkippedFile
+from ..shipping import shared_folder
 
 #: extension -> format
 FORMATS = {
@@ -65,14 +67,28 @@ class Files:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def fetch(self, uri: str) -> str:
+        """A copy of an http(s) file that all executors can read: in the shared
+        folder, or on one machine in a temporary one."""
         if uri not in self.fetched:
-            folder = Path(tempfile.mkdtemp(prefix="astroloom-http-"))
-            to = folder / identifier(posixpath.basename(urlparse(uri).path) or "file")
-            to = to.with_name(posixpath.basename(urlparse(uri).path) or "file")
-            with urllib.request.urlopen(uri, timeout=60) as r, to.open("wb") as f:
-                while block := r.read(1 << 20):
-                    f.write(block)
-            self.fetched[uri] = str(to)
+            name = posixpath.basename(urlparse(uri).path) or "file"
+            shared = shared_folder(self.spark) if self.spark is not None else None
+            with urllib.request.urlopen(uri, timeout=60) as r:
+                if shared is None:
+                    self.fetched[uri] = str(Path(tempfile.mkdtemp(prefix="astroloom-http-")) / name)
+                    with open(self.fetched[uri], "wb") as f:
+                        while block := r.read(1 << 20):
+                            f.write(block)
+                else:
+                    to = f"{shared}/http-{uuid.uuid4().hex}/{name}"
+                    fs, path = self._hadoop(to)
+                    out = fs.create(path, True)
+                    try:
+                        while block := r.read(1 << 20):
+                            out.write(bytearray(block))
+                    finally:
+                        out.close()
+                    # "file:/x" is how Hadoop writes a local path.
+                    self.fetched[uri] = to.removeprefix("file:") if to.startswith("file:/") and "://" not in to else to
         return self.fetched[uri]
 
     def is_folder(self, uri: str) -> bool:
