@@ -336,8 +336,8 @@ class _Renderer:
         scope = Scope([], outer)
         from_sql = ""
         if q.source is not None:
-            cone = self.prunable(q)
-            from_sql = " FROM " + self.source(q.source, scope, ctes, cone)
+            alone = not isinstance(q.source, t.Join)
+            from_sql = " FROM " + self.source(q.source, scope, ctes, self.prunable(q), alone)
             if isinstance(q.source, t.Join) and (joined := self.sky_join(q, scope)):
                 from_sql = " FROM " + joined
         items, columns = [], []
@@ -383,7 +383,7 @@ class _Renderer:
         return (f"{quoted(sources[0].alias)}.*" if star.qualifier else "*"), known
 
     # -- sources ---------------------------------------------------------------
-    def source(self, node: t.Node, scope: Scope, ctes: dict, cone: tuple | None = None) -> str:
+    def source(self, node: t.Node, scope: Scope, ctes: dict, cones: list = (), alone: bool = True) -> str:
         if isinstance(node, t.Derived):
             inner = Scope([], scope.outer)
             sql, columns = self.query(node.query, inner.outer, ctes)
@@ -392,8 +392,8 @@ class _Renderer:
             self.rendered[id(node)] = f"({sql}) AS {quoted(alias)}"
             return self.rendered[id(node)]
         if isinstance(node, t.Join):
-            self.source(node.left, scope, ctes, cone)
-            self.source(node.right, scope, ctes, cone)
+            self.source(node.left, scope, ctes, cones, alone)
+            self.source(node.right, scope, ctes, cones, alone)
             return self.tree(node, scope)
         name = ".".join(node.parts)
         if len(node.parts) == 1 and name.lower() in ctes:
@@ -407,9 +407,12 @@ class _Renderer:
         alias = node.alias or node.parts[-1]
         scope.sources.append(Source(alias, [c.name for c in table.columns], table, node))
         view = quoted(table.view)
-        if cone is not None and table.shards:
-            kept = shards.kept(table.shards, cone[1].ra0, cone[1].dec0, cone[1].radius_deg)
-            if self.on_position(cone[0], table, scope.sources[-1]) and len(kept) < len(table.shards):
+        if table.shards:
+            kept = list(table.shards)
+            for call, cone in cones:
+                if self.on_position(call, table, scope.sources[-1], alone):
+                    kept = shards.kept(kept, cone.ra0, cone.dec0, cone.radius_deg)
+            if len(kept) < len(table.shards):
                 view = f"{table.view}__pruned_{len(self.pruned)}"
                 self.pruned[view] = (table, [s.path for s in kept])
                 view = quoted(view)
@@ -434,27 +437,28 @@ class _Renderer:
         return sql
 
     @staticmethod
-    def prunable(q: t.Select) -> tuple[t.Call, ConeHint] | None:
-        """The literal cone that every row of a single-table query must meet:
-        a positive conjunct of WHERE and nothing else."""
-        if not isinstance(q.source, t.Table):
-            return None
+    def prunable(q: t.Select) -> list[tuple[t.Call, ConeHint]]:
+        """The literal cones that every row must meet: positive conjuncts of
+        WHERE. In a join, whatever its kind, a row without its part of the table
+        that a cone is about meets none."""
+        found = []
         for c in conjuncts(q.where):
             truth = truth_of(c)
             call, holds = truth if truth else (c, True)
             if holds and (cone := literal_cone(call)) and 0 <= cone.radius_deg < 180:
-                return call, cone
-        return None
+                found.append((call, cone))
+        return found
 
     @staticmethod
-    def on_position(call: t.Call, table: TableMeta, source: Source) -> bool:
+    def on_position(call: t.Call, table: TableMeta, source: Source, alone: bool) -> bool:
+        """Whether a cone is about a table's position; in a join only by a name that says so."""
         point = call.args[0].args[1:]
         wanted = (table.ra_column, table.dec_column)
         return all(
             isinstance(p, t.Column)
             and w
             and p.parts[-1].lower() == w.lower()
-            and (len(p.parts) == 1 or ".".join(p.parts[:-1]).lower() in source.keys)
+            and (alone if len(p.parts) == 1 else ".".join(p.parts[:-1]).lower() in source.keys)
             for p, w in zip(point, wanted, strict=True)
         )
 

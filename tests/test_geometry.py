@@ -229,6 +229,14 @@ def test_shard_pruning(spark, sharded, cone):
     for text in (f"{where} = 1", f"1 = {where}", f"id > 0 AND {where} = 1"):
         got = {r["id"] for r in engine.run(f"SELECT id FROM {table.qualified} WHERE {text}").table.to_pylist()}
         assert got == expected
+    # In a join the cone has to name the table.
+    registry.add_frame("up.mine", spark.createDataFrame([(r[0], r[1] + 0.001, r[2]) for r in ROWS], "mine long, ra double, dec double"))
+    named = where.replace("ra, dec", "s.ra, s.dec", 1)
+    for kind in ("JOIN", "LEFT JOIN", "RIGHT JOIN", "FULL JOIN"):
+        q = f"SELECT s.id, u.mine FROM {table.qualified} s {kind} up.mine u ON DISTANCE(POINT('ICRS', s.ra, s.dec), POINT('ICRS', u.ra, u.dec)) < 0.01 WHERE {named} = 1"
+        assert {(r["id"], r["mine"]) for r in engine.run(q).table.to_pylist()} == {(i, i) for i in expected}, kind
+        assert bool(translate(q, registry).pruned) == bool(t.pruned)
+    registry.remove("up.mine")
     # What does not have to hold prunes nothing.
     for text, rows in ((f"{where} = 0", {r[0] for r in ROWS} - expected), (f"{where} = 1 OR id < 3", expected | {1, 2})):
         q = f"SELECT id FROM {table.qualified} WHERE {text}"
