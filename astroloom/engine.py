@@ -97,17 +97,19 @@ class Engine:
         """Own job group for each query: cancelling one leaves others alone."""
         sc = self.spark.sparkContext
         tag = group or f"query-{uuid.uuid4().hex}"
-        late = threading.Event()
-        timer = None
+        late, done = threading.Event(), threading.Event()
         if timeout is not None:
 
             def stop() -> None:
+                if done.wait(max(0.0, timeout - (time.monotonic() - began))):
+                    return
                 late.set()
-                sc.cancelJobGroup(tag)
+                while True:  # a cancel before the job is submitted is lost
+                    sc.cancelJobGroup(tag)
+                    if done.wait(0.2):
+                        return
 
-            timer = threading.Timer(max(0.0, timeout - (time.monotonic() - began)), stop)
-            timer.daemon = True
-            timer.start()
+            threading.Thread(target=stop, daemon=True).start()
         sc.setJobGroup(tag, "ADQL query", interruptOnCancel=True)
         try:
             out = df.toArrow()
@@ -116,8 +118,7 @@ class Engine:
                 raise QueryTimeoutError(time.monotonic() - began, timeout) from None
             raise QueryFailedError(_said(e)) from None
         finally:
-            if timer:
-                timer.cancel()
+            done.set()
             sc.setLocalProperty("spark.jobGroup.id", None)
         if late.is_set():
             raise QueryTimeoutError(time.monotonic() - began, timeout)
