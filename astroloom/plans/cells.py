@@ -11,6 +11,9 @@ each is put into a dozen cells or so, whatever its size; a position is put into
 one cell of each level that occurs on the other side, six at most. Cells of the
 coarse levels, and of wide radii, are salted: positions are dealt over the salts
 by a hash, circles stand in all of them.
+
+Regions meet regions as texts: each text once, however many rows have it. The
+pairs of texts that meet are then an ordinary join away from the rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ REGION = "__sky_region"
 CAP = "__sky_cap"
 CELLS = "__sky_cells"
 LEVELS = "__sky_levels"
+TEXT = "__sky_text"
 
 _ZONE, _LEVEL = 100_000_000, 1_000_000_000_000
 
@@ -209,6 +213,33 @@ def first_meeting(one: str, other: str, cells: str, other_cells: str) -> str:
     )
 
 
+def meeting(one: str, other: str, spread: bool) -> str:
+    """SQL of the pairs of texts (one, other), each once, whose regions meet.
+    ``one`` and ``other`` are tables of distinct texts; ``spread`` asks for a
+    shuffle by cell, as their few rows make costly tests."""
+    sides = []
+    for source, there in ((one, other), (other, one)):
+        # A generator, as the optimizer moves no filter and copies no expression through it.
+        parsed = f"SELECT * FROM {source} LATERAL VIEW explode(array({region_struct(TEXT)})) __v AS {REGION}"
+        sql = f"SELECT *, {levels_of_regions(there, TEXT)} AS {LEVELS} FROM ({parsed})"
+        sql = f"SELECT *, {region_cells(REGION, LEVELS)} AS {CELLS} FROM ({sql})"
+        sides.append(f"(SELECT *, explode({dealt_cells(CELLS, REGION)}) AS {CELL} FROM ({sql}))")
+    caps = [f"{t}.{REGION}.c" for t in ("__a", "__b")]
+    apart = sphere.hav(f"{caps[0]}.ra", f"{caps[0]}.dec", f"{caps[1]}.ra", f"{caps[1]}.dec")
+    tests = [f"__a.{CELL}.key = __b.{CELL}.key", f"{apart} <= {caps[0]}.radius + {caps[1]}.radius"]
+    tests.append(first_meeting(f"__a.{CELL}", f"__b.{CELL}", f"__a.{CELLS}", f"__b.{CELLS}"))
+    tests.append(sphere.polygons_meet(f"__a.{REGION}.g", f"__b.{REGION}.g"))
+    hint = "/*+ MERGE(__b) */ " if spread else ""
+    return f"SELECT {hint}__a.{TEXT} AS one, __b.{TEXT} AS other FROM {sides[0]} AS __a JOIN {sides[1]} AS __b ON {' AND '.join(tests)}"
+
+
+def met(region: str, pairs: str, name: str, spread: bool) -> str:
+    """SQL of a table with a copy of each row for each text that its region
+    meets; a row that meets none stays, with NULL."""
+    hint = "/*+ MERGE(__p) */ " if spread else ""
+    return f"SELECT {hint}__t.*, __p.other AS {name} FROM {{source}} AS __t LEFT JOIN ({pairs}) AS __p ON __p.one = __t.{region}"
+
+
 # --- outer joins -------------------------------------------------------------
 
 

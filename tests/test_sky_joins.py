@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,71 @@ def test_regions_with_regions(sky_engine, how):
     assert answer(sky_engine, q) == joined(rows["f"], rows["g"], lambda p, q: (p[0], q[0]) in pairs, how)
 
 
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """A few regions, each in many rows, beside rows without a region."""
+    r = Registry(spark)
+    texts = [square(10, 0, 2), square(11, 1, 2), square(14, 0, 2), square(12.5, 0, 30), square(200, 40, 2), "bad", None]
+    rows = [(i, i % 3, texts[i % 7]) for i in range(140)]
+    r.add_frame("t.p", spark.createDataFrame(rows, "id long, band long, s_region string"))
+    r.add_frame("t.q", spark.createDataFrame(rows[30:90], "id long, band long, s_region string"))
+    r.publish_schema()
+    meet = {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (0, 1), (0, 3), (1, 3), (2, 3)}
+    meet |= {(y, x) for x, y in meet}
+    r.rows = {"p": rows, "q": rows[30:90]}
+    r.meet = lambda p, q: (p[0] % 7, q[0] % 7) in meet
+    return Engine(spark, r)
+
+
+MEET = "INTERSECTS(p.s_region, q.s_region) = 1"
+
+
+def test_equal_regions_are_tested_once(repeated):
+    """The exact test is in a join of distinct texts: no row of a table takes part."""
+    q = f"SELECT p.id AS x, q.id AS y FROM t.p AS p JOIN t.p AS q ON p.id < q.id AND {MEET}"
+    meet = repeated.registry.meet
+    assert answer(repeated, q) == joined(*[repeated.registry.rows["p"]] * 2, lambda p, q: p[0] < q[0] and meet(p, q))
+    plan = repeated.frame(q)._jdf.queryExecution().optimizedPlan().toString()
+    exact = [line for line in plan.splitlines() if "Join" in line and "ATAN2" in line]
+    assert len(exact) == 1 and not re.search(r"\bid#\d+L", exact[0])
+    # The texts are parsed above the DISTINCT: for both sides and their levels.
+    assert "regexp_replace(s_region" not in plan and plan.count("regexp_replace(__sky_text") <= 4
+
+
+@pytest.mark.parametrize("how", ["INNER", "LEFT", "RIGHT", "FULL"])
+@pytest.mark.parametrize("more", ["", " AND p.band = 1", " AND p.band = q.band", " AND q.id > 50 AND p.id <> q.id"])
+def test_repeated_regions(repeated, how, more):
+    tests = {
+        "": lambda p, q: True,
+        " AND p.band = 1": lambda p, q: p[1] == 1,
+        " AND p.band = q.band": lambda p, q: p[1] == q[1],
+        " AND q.id > 50 AND p.id <> q.id": lambda p, q: q[0] > 50 and p[0] != q[0],
+    }
+    rows, meet = repeated.registry.rows, repeated.registry.meet
+    got = answer(repeated, f"SELECT p.id AS x, q.id AS y FROM t.p {how} JOIN t.q ON {MEET}{more}")
+    assert got == joined(rows["p"], rows["q"], lambda p, q: meet(p, q) and tests[more](p, q), how)
+
+
+def test_texts_of_the_wanted_rows_only(repeated):
+    """Tests of one table narrow the texts; a test that needs both, or a missing row, does not."""
+    rows, meet = repeated.registry.rows, repeated.registry.meet
+    for source in (f"t.p JOIN t.q ON {MEET} WHERE p.id = 3 AND q.band IN (0, 1)", f"t.p, t.q WHERE {MEET} AND p.id = 3 AND q.band IN (0, 1)"):
+        q = f"SELECT p.id AS x, q.id AS y FROM {source}"
+        assert answer(repeated, q) == joined(rows["p"], rows["q"], lambda p, q: meet(p, q) and p[0] == 3 and q[1] in (0, 1))
+        distinct = [s.split("WHERE")[1] for s in repeated.run(q).translation.sql.split("SELECT DISTINCT")[1:]]
+        assert any("`id` = 3" in s for s in distinct) and any("`band` IN (0, 1)" in s for s in distinct)
+    q = f"SELECT z.id AS z, p.id AS x FROM t.p AS z LEFT JOIN (t.p AS p JOIN t.q AS q ON {MEET}) ON p.id = z.id AND q.id = z.id WHERE p.id IS NULL"
+    assert answer(repeated, q) == sorted(((r[0], None) for r in rows["p"] if r not in rows["q"] or r[2] in ("bad", None)), key=repr)
+
+
+def test_three_tables_of_regions(repeated):
+    rows, meet = repeated.registry.rows, repeated.registry.meet
+    q = f"SELECT p.id AS x, q.id AS y, s.id AS z FROM t.p AS p JOIN t.q AS q ON {MEET} JOIN t.p AS s ON INTERSECTS(q.s_region, s.s_region) = 1 WHERE p.id < 14 AND s.id < 14"
+    few = rows["p"][:14]
+    expected = [(a[0], b[0], c[0]) for a in few for b in rows["q"] if meet(a, b) for c in few if meet(b, c)]
+    assert len(expected) > 500 and answer(repeated, q) == sorted(expected, key=repr)
+
+
 def test_three_tables(sky_engine):
     rows = sky_engine.registry.rows
     ab = "CONTAINS(POINT('ICRS', a.ra, a.dec), CIRCLE('ICRS', b.ra, b.dec, 3.0)) = 1"
